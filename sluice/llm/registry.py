@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from sluice.llm import langid, mixing, pii, quality_model, quality_rules
+from sluice.llm import langid, line_dedup, minhash, mixing, pieces, pii, quality_model, quality_rules, token_counts, vector_join
 
 QUERIES = {
+    "op1_embedding_near_dedup": vector_join.op1_embedding_near_dedup,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_pii": pii.op3_pii,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_language_id": langid.op5_language_id,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
+    "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
