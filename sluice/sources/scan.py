@@ -72,7 +72,8 @@ def _multi_line(spark: SparkSession, path: str, delimiter: str, undecodable: int
     schema = ", ".join(f"_c{i} STRING" for i in range(len(headers))) + ", _bad STRING"
     # columns are not pruned: a pruned scan forgets which rows are ragged
     rows = spark.read.options(**options, header="true", enforceSchema="true", columnNameOfCorruptRecord="_bad", columnPruning="false").schema(schema).csv(path)
-    rows = rows.select(*[f"_c{i}" for i in range(len(headers))], F.col("_bad").isNotNull().alias("_ragged"), F.col("_bad").alias("_line"))
+    field = lambda c: F.replace(c, F.lit("\r\n"), F.lit("\n")).alias(c)
+    rows = rows.select(*[field(f"_c{i}") for i in range(len(headers))], F.col("_bad").isNotNull().alias("_ragged"), F.col("_bad").alias("_line"))
     return RawTable(rows, dialect.unique_names(headers), headers, delimiter, True, undecodable)
 
 
