@@ -61,7 +61,9 @@ _AT = re.compile(r"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>|\
 _DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>)\s*")
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})"
-_WORDY = re.compile(rf"(?i)(?<![\w.])[A-Za-z0-9._%+-]{{1,64}}(\s+at\s+){_LABEL}((?:(?:\s+dot\s+|\.){_LABEL}){{0,6}}\s+dot\s+[a-z]{{2,24}})(?!\w)")
+#: Ends of domain names that the form without brackets is taken from; other words are more likely prose.
+_ENDS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|me|tv|de|fr|es|it|nl|uk|eu|us|ca|ch|at|be|pl|pt|se|dk|no|fi|ie|br|mx|ar|cl|au|nz|in|jp|cn|kr|ru"
+_WORDY = re.compile(rf"(?i)(?<![\w.])[A-Za-z0-9._%+-]{{1,64}}(\s+at\s+){_LABEL}((?:(?:\s+dot\s+|\.){_LABEL}){{0,6}}\s+dot\s+(?:{_ENDS}))(?!\w)")
 _WORDY_DOT = re.compile(r"(?i)\s+dot\s+")
 
 
