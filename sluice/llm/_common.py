@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: table access, scratch tables, Arrow text buffers.
+"""Shared plumbing of the training-data operators: table access and scratch tables.
 
 Lineage is cut by writing a table under ``spark.checkpoint.dir`` (the folder that the cluster shares)
 and reading it back, so a lost executor costs a re-read and never a recomputation of earlier rounds.
@@ -6,15 +6,13 @@ and reading it back, so a lost executor costs a re-read and never a recomputatio
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.shared import scratch_path
+
 #: The six ASCII white-space characters that separate words (space, \\t, \\n, \\v, \\f, \\r).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -23,20 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 class Scratch:
     """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, scratch_path(spark, tag), 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -62,24 +51,3 @@ def crc_mod(id_col, n: int):
 
 def crc_mod_py(value: int, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
-
-
-def utf8_parts(col: pa.Array, max_bytes: int = 1 << 20):
-    """Yield (first row, buffer, offsets) for slices of a string column of about max_bytes (one row at least); nulls are empty."""
-    col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
-    n = len(col)
-    if col.null_count:
-        col = col.fill_null("")
-    offsets = np.frombuffer(col.buffers()[1], np.int64, n + 1 + col.offset)[col.offset :] if n else np.zeros(1, np.int64)
-    data = np.frombuffer(col.buffers()[2], np.uint8) if n and col.buffers()[2] is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + max_bytes, "right")) - 1)
-        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
-
-
-def texts(col: pa.Array):
-    """The column's values one at a time as Python strings; null is ''."""
-    for v in col:
-        yield v.as_py() or ""

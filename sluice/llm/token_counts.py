@@ -134,5 +134,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "documents").select("doc_id", section_tokens(spark, F.col("text")).alias("s"))
     counts = F.transform(F.col("s"), lambda x: x["tokens"].cast("long"))
     total = F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    s = s.select("doc_id", total.alias("n_tokens"), F.coalesce(F.size(F.filter("s", lambda x: F.lit(True))), F.lit(0)).cast("long").alias("n_sections"), F.transform(F.col("s"), lambda x: x["start"]).alias("section_start"), counts.alias("section_tokens"))
-    return s.select("doc_id", "n_tokens", F.greatest("n_sections", F.lit(0).cast("long")).alias("n_sections"), "section_start", "section_tokens")
+    n = F.when(F.col("s").isNull(), 0).otherwise(F.size("s")).cast("long")
+    return s.select("doc_id", total.alias("n_tokens"), n.alias("n_sections"), F.transform(F.col("s"), lambda x: x["start"]).alias("section_start"), counts.alias("section_tokens"))
