@@ -119,6 +119,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     """The documents, columns as given, their texts without later copies of repeated runs; lines_col gets the numbers of the lines that went."""
     names = docs.columns
     per_doc = repeated_windows(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "m")).alias("__w"))
+    per_doc = per_doc.hint("merge")  # as many rows as documents with repeats: not for broadcast at any size
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
 
     def run(text: pa.Array, windows: pa.Array) -> pa.Array:
