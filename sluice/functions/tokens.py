@@ -16,11 +16,16 @@ NULL_WORDS = ("null", "none", "nan", "n/a", "na")
 TRUE_WORDS = ("true", "1", "t", "y", "yes", "on")
 FALSE_WORDS = ("false", "0", "f", "n", "no", "off")
 
+#: The characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 DATE_ISO = r"^[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2}$"
 DATE_SLASH = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{1,4}$"
 STAMP_ISO = r"^[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]+)?$"
+STAMP_PADDED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"
+STAMP_LIKE = r"^[0-9]{1,4}[-/][0-9]{1,2}[-/]"
 STAMP_DMY = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{1,4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
 STAMP_YMD = r"^[0-9]{1,4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
 
@@ -36,17 +41,19 @@ def trim(v: Column | Trimmed) -> Column:
     """Without white space, as Unicode has it, at either end."""
     if isinstance(v, Trimmed):
         return v.column
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    return F.btrim(v, F.lit(WHITE_SPACE))
 
 
 def is_null_token(v: Column) -> Column:
     t = trim(v)
-    return F.coalesce((t == "") | F.lower(t).isin(*NULL_WORDS), F.lit(True))
+    n = F.octet_length(t)  # tells most values without looking at them
+    return F.coalesce((n == 0) | ((n <= 4) & F.lower(t).isin(*NULL_WORDS)), F.lit(True))
 
 
 def parse_bool(v: Column) -> Column:
-    low = F.lower(trim(v))
-    return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
+    t = trim(v)
+    low = F.lower(t)
+    return F.when(F.octet_length(t) <= 5, F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False))
 
 
 def parse_int(v: Column) -> Column:
@@ -77,31 +84,36 @@ def parse_date(v: Column) -> Column:
     return F.coalesce(iso, slash)
 
 
-def _stamp(part: Column, y: int, m: int, d: int, t: Column, fraction: bool) -> Column:
-    """From numbers split out of a text; second 60 is the next minute's first."""
-    at = lambda i: F.get(part, i).cast("int")  # noqa: E731  the patterns leave digits only
-    sec = at(5)
-    base = F.call_function("try_make_timestamp_ntz", at(y), at(m), at(d), at(3), at(4), F.least(sec, F.lit(59)).cast("decimal(16,6)"))
-    milli = F.rpad(F.substring(F.coalesce(F.get(part, 6), F.lit("")), 1, 3), 3, "0").cast("bigint") if fraction else F.lit(0).cast("bigint")
-    more = milli + F.when(sec == 60, 1000).otherwise(0)
-    return F.when(sec <= 60, F.timestamp_add("MILLISECOND", more, base))
+def _stamp(y: Column, m: Column, d: Column, hour: Column, minute: Column, sec: Column, fraction: Column | None = None) -> Column:
+    """From whole numbers and the digits of a fraction, of which three count; second 60 is the next minute's first."""
+    base = F.call_function("try_make_timestamp_ntz", y, m, d, hour, minute, F.least(sec, F.lit(59)).cast("decimal(16,6)"))
+    more = F.when(sec == 60, 1000).otherwise(0).cast("bigint")
+    if fraction is None:
+        return F.when(sec <= 60, F.when(sec == 60, F.timestamp_add("MILLISECOND", more, base)).otherwise(base))
+    more = more + F.when(F.octet_length(fraction) > 0, F.rpad(F.substring(fraction, 1, 3), 3, "0").cast("bigint")).otherwise(0)
+    return F.when(sec <= 60, F.when(more > 0, F.timestamp_add("MILLISECOND", more, base)).otherwise(base))
 
 
 def parse_datetime(v: Column) -> Column:
     """Zone-less date and time of one of six forms; milliseconds at most."""
     t = trim(v)
-    part = F.split(t, "[^0-9]+")
-    return (
-        F.when(t.rlike(STAMP_ISO), _stamp(part, 0, 1, 2, t, True))
-        .when(t.rlike(STAMP_DMY), _stamp(part, 2, 1, 0, t, False))
-        .when(t.rlike(STAMP_YMD), _stamp(part, 0, 1, 2, t, False))
-    )
+    at = lambda i, n=2: F.substring(t, i, n).cast("int")  # noqa: E731  the patterns leave digits only
+    padded = _stamp(at(1, 4), at(6), at(9), at(12), at(15), at(18), F.substring(t, 21, 3))
+
+    def other(part: Column) -> Column:
+        g = lambda i: F.get(part, i).cast("int")
+        iso = _stamp(g(0), g(1), g(2), g(3), g(4), g(5), F.coalesce(F.get(part, 6), F.lit("")))
+        return F.when(t.rlike(STAMP_ISO), iso).when(t.rlike(STAMP_DMY), _stamp(g(2), g(1), g(0), g(3), g(4), g(5))).when(t.rlike(STAMP_YMD), _stamp(g(0), g(1), g(2), g(3), g(4), g(5)))
+
+    # the usual, zero-padded form is cut at fixed places; the parts of others are split once and named
+    split = F.transform(F.array(F.split(t, "[^0-9]+")), other)[0]
+    return F.when(t.rlike(STAMP_PADDED), padded).when(t.rlike(STAMP_LIKE), split)
 
 
 def epoch_millis(v: Column) -> Column:
     """Milliseconds of a whole number in one of four bands (s, ms, us, ns since 1970); others are NULL."""
     t = trim(v)
-    x = F.when(t.rlike(INTEGER), t.try_cast("decimal(38,0)"))
+    x = F.when((F.octet_length(t) >= 10) & t.rlike(INTEGER), t.try_cast("decimal(38,0)"))
     lit = lambda n: F.lit(str(n)).cast("decimal(38,0)")
     inside = lambda lo, hi: (x >= lit(lo)) & (x < lit(hi))
     return (

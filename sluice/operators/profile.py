@@ -18,21 +18,26 @@ STRICT, NUMERIC = 0.995, 0.98
 _I64 = 2**63 - 1
 
 
-def observe(t: tokens.Trimmed) -> dict[str, Column]:
-    """What one value adds to each counter and flag (true or false; NULL words add nothing)."""
+def observe(values: DataFrame) -> DataFrame:
+    """position and, for each counter and flag, whether a trimmed value t (no NULL word) adds to it.
+
+    In layers, so that each pattern is matched once per value.
+    """
+    t = tokens.Trimmed(F.col("t"))
     c = t.column
-    shape = (F.octet_length(c) >= 8) & c.rlike("[-:T]")
-    unit = F.when(shape, units.timestamp_unit(t))
+    one = values.select("position", "t", c.rlike(tokens.INTEGER).alias("is_int"), c.rlike(tokens.FLOAT).alias("is_float"), ((F.octet_length(c) >= 8) & c.rlike("[-:T]")).alias("like_time"), (F.octet_length(c) <= 10).alias("short"))
     fits, below, digits = units.whole_number(t)
-    is_float = c.rlike(tokens.FLOAT)
-    one = {
-        "n": F.lit(True), "bool_ok": tokens.parse_bool(t).isNotNull(), "date_ok": tokens.parse_date(t).isNotNull(),
+    unit = F.when(F.col("like_time"), units.timestamp_unit(t))
+    two = one.select("*", unit.alias("unit"), F.when(F.col("is_int"), digits).alias("digits"), (F.col("is_int") & fits).alias("i128_ok"), (F.col("is_int") & below).alias("below"))
+    d = F.col("digits")
+    up, down = F.col("i128_ok") & ~F.col("below"), F.col("i128_ok") & F.col("below")
+    flags = {
+        "n": F.lit(True), "bool_ok": tokens.parse_bool(t).isNotNull(), "date_ok": F.col("short") & tokens.parse_date(t).isNotNull(),
         **{f"ts_{u}": F.col("unit") == u for u in units.UNITS},
-        "f64_ok": is_float, "i128_ok": fits, "float_syntax": is_float & c.rlike("[.eE]"),
-        "negative": fits & below, "below_i64": fits & below & units.beyond(digits, _I64 + 1),
-        "above_i64": fits & ~below & units.beyond(digits, _I64), "above_u64": fits & ~below & units.beyond(digits, 2**64 - 1),
+        "f64_ok": F.col("is_float"), "i128_ok": F.col("i128_ok"), "float_syntax": F.col("is_float") & c.rlike("[.eE]"),
+        "negative": down, "below_i64": down & units.beyond(d, _I64 + 1), "above_i64": up & units.beyond(d, _I64), "above_u64": up & units.beyond(d, 2**64 - 1),
     }
-    return {"unit": unit} | one
+    return two.select("position", *[F.coalesce(x, F.lit(False)).alias(k) for k, x in flags.items()])
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -46,10 +51,8 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         raise ValueError("no columns to profile")
     each = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])
     values = df.select(F.explode(each).alias("x")).select("x.position", tokens.trim(F.col("x.v")).alias("t"))
-    t = tokens.Trimmed(F.col("t"))
-    seen = observe(t)
-    values = values.filter(~tokens.is_null_token(t)).select("position", "t", seen.pop("unit").alias("unit"))
-    got = values.groupBy("position").agg(*[F.count_if(F.coalesce(seen[k], F.lit(False))).alias(k) for k in COUNTERS], *[F.bool_or(F.coalesce(seen[k], F.lit(False))).alias(k) for k in FLAGS])
+    values = values.filter(~tokens.is_null_token(tokens.Trimmed(F.col("t"))))
+    got = observe(values).groupBy("position").agg(*[F.count_if(k).alias(k) for k in COUNTERS], *[F.bool_or(k).alias(k) for k in FLAGS])
     names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column_name"))
     zero = [F.coalesce(F.col(k), F.lit(0)).alias(k) for k in COUNTERS] + [F.coalesce(F.col(k), F.lit(False)).alias(k) for k in FLAGS]
     return names.join(got, "position", "left").select("position", "column_name", *zero)
