@@ -35,6 +35,7 @@ from sluice.llm._common import read_table
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+ROWS = 256
 _END = 1 << 30  # merge order of what is not merged
 
 
@@ -229,7 +230,7 @@ class PieceModel:
         cut = np.searchsorted(owners, np.arange(len(parts) + 1))
         return ids.astype(np.int32), cut
 
-    def encode(self, texts: list[str | None], part_chars: int = 1 << 18, most: int = 4_000_000) -> list[np.ndarray | None]:
+    def encode(self, texts: list[str | None], part_chars: int = 1 << 17, most: int = 2_500_000) -> list[np.ndarray | None]:
         """Piece ids of each text. Cuts seen before come from a cache, emptied at `most` characters."""
         cut = [self._cuts(t) for t in texts]
         if self.held > most:
@@ -380,7 +381,7 @@ def encode(spark: SparkSession, model: PieceModel, text):
 
     @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
-        return _lists([x for i in range(0, len(col), 512) for x in shared.value.encode(col.slice(i, 512).to_pylist())])
+        return _lists([x for i in range(0, len(col), ROWS) for x in shared.value.encode(col.slice(i, ROWS).to_pylist())])
 
     return run(text)
 
@@ -408,10 +409,23 @@ def encoded(spark: SparkSession, docs: DataFrame, model_file: str = MODEL_FILE)
 
     A text that holds the mark itself or code points that UTF-8 lacks comes back with spaces or signs instead.
     """
-    model = PieceModel.load(model_file)
-    one = docs.select("doc_id", "text", encode(spark, model, F.col("text")).alias("ids"))
-    two = one.select("doc_id", "text", "ids", decode(spark, model, F.col("ids")).alias("back"))
-    return two.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("back").eqNullSafe(F.col("text")).alias("round_trip"))
+    shared = spark.sparkContext.broadcast(PieceModel.load(model_file))
+
+    def run(batches):
+        """In slices, so that no more than a slice's lists are held beside a batch."""
+        model = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                texts = part.column("text").to_pylist()
+                ids = model.encode(texts)
+                same = [model.decode(None if x is None else x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+                n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), n, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+                del texts, ids, same
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
