@@ -102,7 +102,7 @@ class QualityModel:
         self.__dict__.update(state)
         self.cache = {}
 
-    def learn_words(self, words: list[bytes], part: int = 20_000, most: int = 400_000) -> None:
+    def learn_words(self, words: list[bytes], part: int = 20_000, most: int = 200_000) -> None:
         if len(self.cache) + len(words) > most:
             self.cache.clear()
         for i in range(0, len(words), part):
@@ -115,7 +115,7 @@ class QualityModel:
         cache = self.cache
         new = set().union(*docs).difference(cache) if docs else set()
         if new:
-            if len(cache) + len(new) > 400_000:
+            if len(cache) + len(new) > 200_000:
                 cache.clear()
                 new = set().union(*docs)
             self.learn_words(sorted(new), most=1 << 62)
