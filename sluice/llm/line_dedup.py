@@ -58,9 +58,10 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     scratch = Scratch(spark, "lines")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _lines(min_words)(F.col(text_col)).alias("l"))
     rows = scratch.write(rows.select("doc_id", F.posexplode(F.arrays_zip("l.ids", "l.need")).alias("at", "x")).select("doc_id", "at", F.col("x.ids").alias("r"), F.col("x.need").alias("m")))
-    twice = rows.groupBy("r").agg(F.count("*").alias("k")).filter("k > 1").select("r")
+    # written first, so that the join has a shuffle of its own, of which Spark can split the large partitions
+    twice = scratch.write(rows.groupBy("r").agg(F.count("*").alias("k")).filter("k > 1").select("r"))
     ranks = scratch.write(rows.join(twice, "r").select("doc_id", "at", "m", "r"))  # a line's id is its rank by one line
-    scratch.drop(rows)
+    scratch.drop(rows, twice)
     longest = ranks.agg(F.max("m")).first()[0] or 0
     found, j = [], 0
     while True:
@@ -89,10 +90,10 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     for i, f in enumerate(found[1:], 1):
         every = every.union(f.withColumn("level", F.lit(i)))
     key = ["level", "m", "r", "r2"]
-    first = every.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    first = scratch.write(every.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k"))
     later = every.join(first, key).filter(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "m")
     out = scratch.write(later)
-    scratch.drop(*found)
+    scratch.drop(first, *found)
     return out
 
 

@@ -95,7 +95,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.98, block: int = BLOCK,
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.select("vec_id", "label", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.arrow_udf(same, "binary")("v")).alias("same"), "v")
     base = scratch.write(rows)
-    groups = base.filter("same IS NOT NULL").groupBy("label", "same").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"))
+    groups = scratch.write(base.filter("same IS NOT NULL").groupBy("label", "same").agg(F.min("vec_id").alias("first"), F.count("*").alias("w")))
     member = scratch.write(base.select("vec_id", "label", "same").join(groups, ["label", "same"], "left").select("vec_id", F.coalesce("first", "vec_id").alias("first"), F.coalesce("w", F.lit(1)).alias("w")))
     firsts = groups.select(F.col("first").alias("vec_id"))
     vec = scratch.write(base.join(firsts, "vec_id", "left_semi").select("vec_id", "label", "v"))
@@ -185,7 +185,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.98, block: int = BLOCK,
 
     va, vb = vec.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), vec.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     links = scratch.write(candidates.join(va, "a").join(vb, "b").filter(F.arrow_udf(verified, "boolean")("va", "vb")).select("a", "b"))
-    scratch.drop(base, vec)
+    scratch.drop(base, vec, groups)
     comp = components(spark, links).select(F.col("node").alias("first"), "component")
     weight = member.groupBy("first").agg(F.max("w").alias("w"))
     both = links.union(links.select("b", "a"))
