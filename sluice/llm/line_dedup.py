@@ -6,11 +6,17 @@ position's rank is joined with the one 2^j lines on, the distinct pairs that occ
 over range partitions and numbered in that order, and positions whose pair is unique drop out. So after round
 j the ranks put the repeated suffixes in the order of their first 2^j lines.
 
-A run counts as repeated from ``min_words`` words. For a position m is the least number of lines with as many
-words; the suffixes that agree on m lines are the interval of the suffix array with a longest common prefix
-of m or more, and two overlapping ranks of 2^j <= m lines name it. In each interval the first position by
-(doc_id, line) stays; every later one deletes its m lines. Maximal repeated runs are unions of such windows, so
-every later copy of a maximal run goes whole.
+A run counts as repeated from ``min_words`` words. Two kinds of windows are looked at: from each line on the
+least number m of lines with as many words, and up to each line the least number of lines with as many. The
+suffixes that agree on m lines are the interval of the suffix array with a longest common prefix of m or more,
+and two overlapping ranks of 2^j <= m lines name it. In each interval the first position by (doc_id, line)
+stays; every later one deletes its m lines.
+
+A run of min_words words or more with an earlier copy is the union of such windows: a line of it has the window
+from it on inside the run, or else fewer than min_words words follow it there, and the window up to the run's
+last line holds it. So every later copy of a maximal run goes whole. Windows from a line on alone leave the last
+lines of a run in place; ``dedup_lines`` and ``repeated_windows`` look at these alone unless ``whole`` is set, as
+the query and the pipeline do.
 
 Edge cases: null texts stay null and empty ones empty; lines without words are in no run and stay, unless
 all lines with words go: then the text is empty; a copy of a run within one document counts (the
@@ -30,8 +36,8 @@ from sluice.llm._common import Scratch, read_table
 MIN_WORDS = 50
 
 
-def lines_of(text: str | None, min_words: int) -> tuple[list[int], list[int]]:
-    """Of each line with a word: its 64-bit id, and the least number of lines from it with min_words words (0: there are none)."""
+def lines_of(text: str | None, min_words: int, whole: bool = False) -> tuple[list[int], list[list[int]]]:
+    """Of each line with a word: its 64-bit id, and the lengths of the windows that start with it (with ``whole`` also those that are the least up to their last line)."""
     ids, words = [], []
     for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
         w = len(line.split())
@@ -41,33 +47,40 @@ def lines_of(text: str | None, min_words: int) -> tuple[list[int], list[int]]:
     upto = np.r_[0, np.cumsum(np.array(words, np.int64))]
     need = np.searchsorted(upto, upto[:-1] + min_words, "left") - np.arange(len(words))
     need[upto[:-1] + min_words > upto[-1]] = 0
-    return ids, need.tolist()
+    windows = {(i, m) for i, m in enumerate(need.tolist()) if m}
+    if whole:
+        start = np.searchsorted(upto, upto[1:] - min_words, "right") - 1  # -1: fewer words up to here
+        windows.update((b, end - b) for end, b in enumerate(start.tolist(), 1) if b >= 0)
+    lengths = [[] for _ in ids]
+    for i, m in sorted(windows):
+        lengths[i].append(m)
+    return ids, lengths
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, whole: bool):
     def run(col: pa.Array) -> pa.Array:
-        got = [lines_of(v.as_py(), min_words) for v in col]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["ids", "need"])
+        got = [lines_of(v.as_py(), min_words, whole) for v in col]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.list_(pa.int32())))], ["ids", "need"])
 
-    return F.arrow_udf(run, "struct<ids:array<bigint>,need:array<int>>")
+    return F.arrow_udf(run, "struct<ids:array<bigint>,need:array<array<int>>>")
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, at, m): from line `at` (counting lines with a word from 0) m lines that occurred before."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _lines(min_words)(F.col(text_col)).alias("l"))
-    rows = scratch.write(rows.select("doc_id", F.posexplode(F.arrays_zip("l.ids", "l.need")).alias("at", "x")).select("doc_id", "at", F.col("x.ids").alias("r"), F.col("x.need").alias("m")))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _lines(min_words, whole)(F.col(text_col)).alias("l"))
+    rows = scratch.write(rows.select("doc_id", F.posexplode(F.arrays_zip("l.ids", "l.need")).alias("at", "x")).select("doc_id", "at", F.col("x.ids").alias("r"), F.col("x.need").alias("ms")))
     # written first, so that the join has a shuffle of its own, of which Spark can split the large partitions
     twice = scratch.write(rows.groupBy("r").agg(F.count("*").alias("k")).filter("k > 1").select("r"))
-    ranks = scratch.write(rows.join(twice, "r").select("doc_id", "at", "m", "r"))  # a line's id is its rank by one line
+    ranks = scratch.write(rows.join(twice, "r").select("doc_id", "at", "ms", "r"))  # a line's id is its rank by one line
     scratch.drop(rows, twice)
-    longest = ranks.agg(F.max("m")).first()[0] or 0
+    longest = ranks.agg(F.max(F.array_max("ms"))).first()[0] or 0
     found, j = [], 0
     while True:
         size = 1 << j
         # windows of m lines, size <= m < 2 * size: the ranks at their first and at their last `size` lines
-        here = ranks.filter((F.col("m") >= size) & (F.col("m") < 2 * size))
+        here = ranks.select("doc_id", "at", "r", F.explode("ms").alias("m")).filter((F.col("m") >= size) & (F.col("m") < 2 * size))
         if size == 1:
             pairs = here.select("doc_id", "at", "m", "r", F.col("r").alias("r2"))
         else:
@@ -77,12 +90,12 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         if 2 * size > longest:
             break
         step = Window.partitionBy("doc_id").orderBy("at").rangeBetween(size, size)
-        both = scratch.write(ranks.select("doc_id", "at", "m", F.col("r").alias("a"), F.first("r").over(step).alias("b")).filter("b IS NOT NULL"))
+        both = scratch.write(ranks.select("doc_id", "at", "ms", F.col("r").alias("a"), F.first("r").over(step).alias("b")).filter("b IS NOT NULL"))
         again = both.groupBy("a", "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b")
         # the number of a row among range partitions, sorted: ascends as the pairs do (written once, so it holds)
         order = scratch.write(again.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")))
         scratch.drop(ranks)
-        ranks = scratch.write(both.join(order, ["a", "b"]).select("doc_id", "at", "m", "r"))
+        ranks = scratch.write(both.join(order, ["a", "b"]).select("doc_id", "at", "ms", "r"))
         scratch.drop(both, order)
         j += 1
     scratch.drop(ranks)
@@ -116,10 +129,10 @@ def strip_lines(text: str | None, windows: list[tuple[int, int]]) -> tuple[str |
     return ("\n".join(kept) if left else ""), went
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None) -> DataFrame:
-    """The documents, columns as given, their texts without later copies of repeated runs; lines_col gets the numbers of the lines that went."""
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None, whole: bool = False) -> DataFrame:
+    """The documents, columns as given, their texts without later copies of repeated runs (with ``whole``; else of repeated windows from a line on); lines_col gets the numbers of the lines that went."""
     names = docs.columns
-    per_doc = repeated_windows(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "m")).alias("__w"))
+    per_doc = repeated_windows(docs, min_words, id_col, text_col, whole).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "m")).alias("__w"))
     per_doc = per_doc.hint("merge")  # as many rows as documents with repeats: not for broadcast at any size
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
 
@@ -136,11 +149,11 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text after line dedup, and which of its lines went."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, lines_col="deleted_lines")
+    out = dedup_lines(docs, lines_col="deleted_lines", whole=True)
     return out.select("doc_id", "text", F.size("deleted_lines").cast("long").alias("n_deleted"), "deleted_lines")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents after line dedup; those of which all lines with words went are gone."""
-    out = dedup_lines(docs, lines_col="__went")
+    out = dedup_lines(docs, lines_col="__went", whole=True)
     return out.filter((F.size("__went") == 0) | (F.col("text") != "")).drop("__went")

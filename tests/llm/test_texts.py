@@ -171,3 +171,40 @@ def test_documents_that_are_all_repeats_go(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (2, text), (3, ""), (4, None), (5, "x\n" + text)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()} == {1: text, 3: "", 4: None, 5: "x"}
+
+
+def runs_with_an_earlier_copy(rows, least):
+    """Of each document the lines in any run of least words or more that occurred before: all runs against all positions before."""
+    gone, seen = {}, set()
+    for d, t in sorted(rows, key=lambda x: x[0]):
+        s = [(x.strip(), len(x.split())) for x in (t or "").split("\n") if x.split()]
+        gone[d] = set()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if sum(x[1] for x in s[i:j]) >= least:
+                    k = tuple(x[0] for x in s[i:j])
+                    if k in seen:
+                        gone[d].update(range(i, j))
+                    seen.add(k)
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 12, 25])
+def test_later_copies_of_maximal_runs_go_whole(spark, least):
+    rng = random.Random(6)
+    lines = ["w" + str(i) + " b" * rng.choice([0, 0, 1, 3, 9, 30]) for i in range(14)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    rows += [(100 + i, "x y\n" + rows[i][1] + "\nz") for i in range(10)] + [(200 + i, rows[i][1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.went for r in line_dedup.dedup_lines(df, lines_col="went", min_words=least, whole=True).collect()}
+    want = runs_with_an_earlier_copy(rows, least)
+    assert out == {d: sorted(want[d]) if t else [] for d, t in rows}
+
+
+def test_line_dedup_query_takes_short_last_lines(spark, tmp_path):
+    shapes = [(93, 2), (20, 49, 18, 2), (49, 1), (2, 93), (60, 1, 1, 1)]
+    texts = ["\n".join(" ".join(f"s{k}l{j}w{i}" for i in range(n)) for j, n in enumerate(s)) for k, s in enumerate(shapes)]
+    rows = [(c * 10 + k, t) for c in range(3) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.text, r.deleted_lines) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {d: (t, []) if d < 10 else ("", list(range(len(shapes[d % 10])))) for d, t in rows}
