@@ -2,8 +2,8 @@
 
 Plain detectors find e-mail addresses, IP addresses, card and phone numbers in the text itself (the base).
 Where a text shows signs of disguise, transducers rewrite it: homoglyphs and full-width forms to ASCII,
-zero-width characters to nothing, spelled digits to digits, "[at]" and "(dot)" and "x at y dot z" to "@"
-and ".". Every rewritten character keeps the span of source characters it stands for, so what the
+zero-width characters to nothing, spelled digits to digits, "[at]" and "(dot)" and " at " and " dot ", in any
+mix, to "@" and ".". Every rewritten character keeps the span of source characters it stands for, so what the
 detectors find in the rewritten text maps back to the source. Such a span is added unless it touches a
 base span of its kind or one added before.
 
@@ -61,9 +61,24 @@ _AT = re.compile(r"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>|\
 _DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>)\s*")
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})"
-#: Ends of domain names that the form without brackets is taken from; other words are more likely prose.
-_ENDS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|me|tv|de|fr|es|it|nl|uk|eu|us|ca|ch|at|be|pl|pt|se|dk|no|fi|ie|br|mx|ar|cl|au|nz|in|jp|cn|kr|ru"
-_WORDY = re.compile(rf"(?i)(?<![\w.])[A-Za-z0-9._%+-]{{1,64}}(\s+at\s+){_LABEL}((?:(?:\s+dot\s+|\.){_LABEL}){{0,6}}\s+dot\s+(?:{_ENDS}))(?!\w)")
+#: Ends of domain names that a form without "@" and brackets is taken from, as other words are more likely prose: the
+#: countries' (but as, am, by, do, is, my, so, to) and the better known of the others.
+_ENDS = frozenset(
+    """ac ad ae af ag ai al ao aq ar at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw
+    cx cy cz de dj dk dm dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in
+    io iq ir it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx
+    mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn sr ss st su
+    sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+    com org net edu gov mil int info biz name pro mobi aero asia cat coop jobs museum post tel travel xxx arpa
+    xyz app dev page blog online site website shop store tech cloud digital email media agency academy club live life link world today news space
+    studio design solutions services systems software network company center community finance capital consulting group team works zone global
+    guru expert education university school health clinic care legal law fund bank money market marketing host hosting icu vip top wiki win work
+    berlin hamburg koeln bayern wien london paris nyc tokyo moscow amsterdam brussels africa gmbh ltd llc inc swiss eus gal bzh scot wales""".split()
+)
+_LOCALS = r"[A-Za-z0-9._%+-]{1,64}"
+_WORDY = re.compile(rf"(?i)(?<![\w.%+-]){_LOCALS}((?:\s++dot\s++{_LOCALS}){{0,3}})(\s++at\s++|@)({_LABEL}(?:(?:\s++dot\s++|\.){_LABEL}){{1,8}})(?!\w)")
+_WORDY_SEP = re.compile(r"(?i)\s+dot\s+|\.")
+_WORDY_IP = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\s++dot\s++|\.)[0-9]++){3}")
 _WORDY_DOT = re.compile(r"(?i)\s+dot\s+")
 
 
@@ -167,14 +182,38 @@ def normalise(text: str) -> Tape:
     edits += [(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)]
     edits.sort()
     tape.rewrite([e for i, e in enumerate(edits) if not i or edits[i - 1][1] <= e[0]])
-    edits = []
-    for m in _WORDY.finditer(tape.text):
-        edits.append((*m.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _WORDY_DOT.finditer(tape.text, *m.span(2))]
-    tape.rewrite(edits)
+    tape.rewrite(_wordy(tape, text))
+    tape.rewrite([(d.start(), d.end(), ".") for m in _WORDY_IP.finditer(tape.text) for d in _WORDY_DOT.finditer(tape.text, *m.span())])
     return tape
 
 
+def _wordy(tape: Tape, source: str) -> list[tuple[int, int, str]]:
+    """Edits for addresses with " at " or " dot " in words, in any mix with "@", "." and the forms in brackets.
+
+    With " at " a dot has to be disguised too ("look at example.com" is prose). The domain ends with the last
+    name that _ENDS has; where the "@" or a dot is a sign, and no dot is plain, with any of two letters or more.
+    """
+    edits, at, whole = [], 0, tape.text
+    while m := _WORDY.search(whole, at):
+        at = m.start(2)
+        word = whole[at : m.end(2)] != "@"
+        dots = list(_WORDY_SEP.finditer(whole, *m.span(3)))
+        local = [(d.start(), d.end(), ".") for d in _WORDY_DOT.finditer(whole, *m.span(1))]
+        for n in range(len(dots), 0, -1):
+            end = dots[n].start() if n < len(dots) else m.end(3)
+            name = whole[dots[n - 1].end() : end].lower()
+            worded = [(d.start(), d.end(), ".") for d in dots[:n] if d[0] != "."]
+            marked = [d[0] == "." and source[tape.start[d.start()] : tape.end[d.start()]] != "." for d in dots[:n]]
+            plain = n - len(worded) - sum(marked)
+            if name not in _ENDS and not (len(name) > 1 and name.isalpha() and not plain and (not word or any(marked))):
+                continue
+            if plain < n if word else worded or local:
+                edits += [*local, *([(*m.span(2), "@")] if word else []), *worded]
+                at = end
+                break
+    return edits
+
+
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(base spans, all spans), both by kind and in order."""
     text = text or ""

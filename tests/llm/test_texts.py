@@ -208,3 +208,27 @@ def test_line_dedup_query_takes_short_last_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: (r.text, r.deleted_lines) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {d: (t, []) if d < 10 else ("", list(range(len(shapes[d % 10])))) for d, t in rows}
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("x bob [at] mail7 dot example dot com y", "email", "bob [at] mail7 dot example dot com"),
+    ("bob@mail7 dot example dot com", "email", "bob@mail7 dot example dot com"),
+    ("bob at mail7 [dot] example [dot] com", "email", "bob at mail7 [dot] example [dot] com"),
+    ("bob at example dot xyz", "email", "bob at example dot xyz"),
+    ("bob@example dot photography", "email", "bob@example dot photography"),
+    ("bob dot lee at example dot com", "email", "bob dot lee at example dot com"),
+    ("bob at mail dot example.com, or", "email", "bob at mail dot example.com"),
+    ("bob at example dot com dot Thanks", "email", "bob at example dot com"),
+    ("from 192 dot 168 dot 1 dot 1 on", "ip", "192 dot 168 dot 1 dot 1"),
+    ("192.168 dot 1 (dot) 1", "ip", "192.168 dot 1 (dot) 1"),
+])
+def test_mixed_disguises(text, kind, found):
+    every = pii.find(text)[1]
+    assert [text[a:b] for a, b in every[kind]] == [found] and pii.redact(text) == text.replace(found, f"[{kind}]")
+
+
+def test_mixed_disguises_leave_prose():
+    for t in ["look at example.com dot", "he sat at noon dot the end", "999 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "bob at the dot [dot] ", "[dot] at a.b"]:
+        assert not any(pii.find(t)[1].values()), t
+    for t in ["a dot " * 40_000, "a at b dot " * 20_000, "[dot]" + "1 dot " * 40_000, "[dot]" + "a@a." * 50_000]:
+        pii.find(t)
