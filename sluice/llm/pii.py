@@ -4,8 +4,9 @@ Plain detectors find e-mail addresses, IP addresses, card and phone numbers in t
 Where a text shows signs of disguise, transducers rewrite it: homoglyphs and full-width forms to ASCII,
 zero-width characters to nothing, spelled digits to digits, "[at]" and "(dot)" and " at " and " dot ", in any
 mix, to "@" and ".". Every rewritten character keeps the span of source characters it stands for, so what the
-detectors find in the rewritten text maps back to the source. Such a span is added unless it touches a
-base span of its kind or one added before.
+detectors find in the rewritten text maps back to the source. Such a span is added unless it equals a base
+span of its kind or cuts through one. Where it holds base spans these stay beside it; counts are of the spans
+that no other of their kind holds, and ``redact`` takes the widest.
 
 Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans; texts are
 processed whole, in time linear in their length (runs of digits or of address characters are met once);
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -224,18 +226,24 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     every = {}
     for kind, spans in detect(tape.text).items():
         have = sorted(base[kind])
+        starts, ends = [x[0] for x in have], [x[1] for x in have]
+        added, done = [], 0
         for a, b in sorted(tape.source(*s) for s in spans):
-            if not _touches(have, a, b):
-                have = sorted([*have, (a, b)])
-        every[kind] = have
+            held = have[bisect_right(ends, a) : bisect_left(starts, b)]  # the base spans it touches
+            if a >= done and (not held or (a <= held[0][0] and held[-1][1] <= b and held != [(a, b)])):
+                added.append((a, b))
+                done = b
+        every[kind] = sorted(have + added)
     return base, every
 
 
-def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
-
-    i = bisect_left(spans, (b, -1))
-    return i > 0 and spans[i - 1][1] > a
+def widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that no other holds."""
+    out = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
 
 
 def written(found: dict[str, list[tuple[int, int]]]) -> str:
@@ -251,7 +259,7 @@ def spans(text):
         for v in col:
             b, e = find(v.as_py())
             for n, k in zip(counts, KINDS, strict=True):
-                n.append(len(e[k]))
+                n.append(len(e[k] if e is b else widest(e[k])))
             base.append(written(b))
             every.append(base[-1] if e is b else written(e))
         return pa.StructArray.from_arrays([*(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], [*(f"n_{k}" for k in KINDS), "base", "spans"])
@@ -265,7 +273,7 @@ def redact(text: str | None) -> str | None:
         return None
     _, every = find(text)
     out, at = [], 0
-    for a, b, k in sorted((a, -b, k) for k in KINDS for a, b in every[k]):
+    for a, b, k in sorted((a, -b, k) for k in KINDS for a, b in widest(every[k])):
         if a >= at:
             out += [text[at:a], f"[{k}]"]
             at = -b

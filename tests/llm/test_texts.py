@@ -232,3 +232,16 @@ def test_mixed_disguises_leave_prose():
         assert not any(pii.find(t)[1].values()), t
     for t in ["a dot " * 40_000, "a at b dot " * 20_000, "[dot]" + "1 dot " * 40_000, "[dot]" + "a@a." * 50_000]:
         pii.find(t)
+
+
+@pytest.mark.parametrize("text, wide, base", [
+    ("to jоhn@mail7.example.com.", "jоhn@mail7.example.com", "hn@mail7.example.com"),
+    ("to john@mail7.example.cоm.", "john@mail7.example.cоm", "john@mail7.example.c"),
+    ("to jo​hn@mail7.example.com.", "jo​hn@mail7.example.com", "hn@mail7.example.com"),
+    ("to bob@mail7.example dot com.", "bob@mail7.example dot com", "bob@mail7.example"),
+])
+def test_cut_base_spans_are_widened(spark, text, wide, base):
+    assert [text[a:b] for a, b in pii.find(text)[0]["email"]] == [base]
+    assert {text[a:b] for a, b in pii.find(text)[1]["email"]} == {wide, base}
+    assert pii.redact(text) == "to [email]."
+    assert spark.createDataFrame([(text,)], "text string").select(pii.spans(F.col("text")).alias("p")).first().p.n_email == 1
