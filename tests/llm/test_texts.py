@@ -245,3 +245,19 @@ def test_cut_base_spans_are_widened(spark, text, wide, base):
     assert {text[a:b] for a, b in pii.find(text)[1]["email"]} == {wide, base}
     assert pii.redact(text) == "to [email]."
     assert spark.createDataFrame([(text,)], "text string").select(pii.spans(F.col("text")).alias("p")).first().p.n_email == 1
+
+
+def test_no_exact_copy_survives_the_pipelines_dedup(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(f"d{k}l{j}w{i}" for i in range(n)) for j, n in enumerate([93, *(rng.randint(1, 40) for _ in range(rng.randint(0, 4))), rng.randint(1, 12)])) for k in range(12)]
+    new = spark.createDataFrame([(10_000_000 + c * 100 + k, t) for c in range(3) for k, t in enumerate(texts)], "doc_id long, text string")
+    one = docs.drop("doc_id", "text").limit(1)
+    docs = new.crossJoin(one).select(*docs.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line_dedup", "minhash_near_dedup"):
+        stages[name](spark, docs, "").write.parquet(out := f"{tmp_path}/{name}")
+        docs = spark.read.parquet(out)
+        assert {r.doc_id: r.text for r in docs.collect()} == {10_000_000 + k: t for k, t in enumerate(texts)}, name
