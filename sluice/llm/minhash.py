@@ -10,7 +10,7 @@ its smallest document, in three rounds with components found in between: first o
 the smallest centre it meets in any bucket), then the stars' edges between different components, then, for the
 documents that a star's centre failed to link, the other components of their buckets, tile by tile, each tile
 handing on a forest of links. Before that what can't be a link is ruled out: by size; by BITS one-bit minima, of which a pair at 0.75
-differs in more than MOST with a chance of 1e-9; and by the number of a document's shingles that any
+differs in more than MOST with a chance of 1.6e-8; and by the number of a document's shingles that any
 other document near it has, which bounds every intersection. Every candidate is confirmed on full sets.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing; texts
@@ -125,7 +125,9 @@ def _shingle_sets(batches):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document."""
+    """doc_id, n_shingles, component_id for each document. The bands and MOST are made for a similarity of 75 percent and up."""
+    if percent < 75:
+        raise ValueError("percent must be 75 or more: below, the bands and one-bit minima would lose links")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch(spark, "minhash")

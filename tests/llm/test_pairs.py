@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import minhash, vector_join
@@ -126,3 +127,9 @@ def test_one_bit_minima_of_near_sets_differ_little():
             bits = minhash.one_bit(minhash.signature(a)) ^ minhash.one_bit(minhash.signature(b))
             worst = max(worst, int(np.unpackbits(bits.view(np.uint8)).sum()))
     assert worst <= minhash.MOST
+
+
+def test_minhash_refuses_thresholds_its_bands_are_not_made_for(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df, percent=74)
