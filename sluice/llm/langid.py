@@ -2,8 +2,8 @@
 
 Training is follow-the-regularised-leader (FTRL-proximal) with an elastic-net penalty, on at most
 ``sample_per_lang`` labelled documents of each language (a documented bound; the documents with the
-lowest seeded hashes, so reruns agree). Document frequencies come from the same sample. A fifth of it
-is kept back from the weights and used for temperature calibration.
+lowest seeded hashes, so reruns agree). Document frequencies are counted over all labelled documents. A
+fifth of the sample is kept back from the weights and used for temperature calibration.
 
 Edge cases: a null text, an empty one and one without letters get ``und`` with score 1.0; with no
 labelled row to learn from every document is ``und`` with score 0.0; repeated rows and ties give equal
@@ -149,6 +149,26 @@ def sample(docs: DataFrame, sample_per_lang: int, id_col: str, text_col: str, la
     return docs.filter(u < share[F.col(lang_col)]).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), u.alias("u"))
 
 
+def document_frequencies(labelled: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
+    """How many rows have letters, and in how many of them each bucket occurs: counted by task, summed on the executors."""
+
+    def count(batches):
+        df, n = np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            for v in b.column("text"):
+                c = text_counts(v.as_py() or "")
+                if c is not None:
+                    df[c[0]] += 1
+                    n += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], ["bucket", "k"])
+
+    got = labelled.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, k bigint").groupBy("bucket").agg(F.sum("k").alias("k")).toArrow()
+    total = np.zeros((1 << BITS) + 1, np.int64)  # the last one, at -1, is the number of rows
+    total[got["bucket"].to_numpy()] = got["k"].to_numpy()
+    return int(total[-1]), total[:-1]
+
+
 def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from the rows given, which must all carry a language. Features are counted on the executors; at most
     sample_per_lang sparse rows of a language reach the driver."""
@@ -174,10 +194,8 @@ def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alp
     k, d = len(langs), 1 << BITS
     if not k:
         return LangModel([], np.zeros((d, 0), np.float32), np.zeros(0), 1.0)
-    df = np.zeros(d)
-    for _, idx, _ in data:
-        df[idx] += 1
-    idf = np.log((1 + len(data)) / (1 + df)) + 1
+    n, df = document_frequencies(labelled, text_col)
+    idf = np.log((1 + n) / (1 + df)) + 1
     scale = 100.0  # relative frequencies are small numbers
     data = [(langs.index(lang), idx, cnt / cnt.sum() * idf[idx] * scale) for lang, idx, cnt in data]
     order = np.random.default_rng(5).permutation(len(data))

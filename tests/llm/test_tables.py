@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,16 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_document_frequencies_come_from_all_rows(spark):
+    rows = [(i, f"w{i % 7} {'the house' if i % 2 else 'la maison'} {chr(97 + i % 26) * 3}", "en" if i % 2 else "fr") for i in range(80)] + [(80, "12", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    n, freq = langid.document_frequencies(df)
+    want = np.zeros(1 << langid.BITS, np.int64)
+    for _, t, _ in rows[:-1]:
+        want[langid.text_counts(t)[0]] += 1
+    assert n == 80 and (freq == want).all()
+    picked = {int(r.id) for r in langid.sample(df, 5, "doc_id", "text", "lang").collect()}
+    other = df.withColumn("text", F.when(F.col("doc_id").isin(picked), F.col("text")).otherwise(F.lit("the maison")))
+    assert not np.array_equal(langid.fit(df, sample_per_lang=5).weights, langid.fit(other, sample_per_lang=5).weights)
