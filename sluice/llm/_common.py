@@ -7,7 +7,10 @@ and reading it back, so a lost executor costs a re-read and never a recomputatio
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(col: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of consecutive slices of a text column: at most `rows` rows, and `size` bytes unless one row has more."""
+    lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(lengths):
+        if i > at and (i - at >= rows or held + n > size):
+            yield at, i - at
+            at, held = i, 0
+        held += n
+    if at < len(lengths):
+        yield at, len(lengths) - at
+
+
 class Scratch:
     """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with."""
 

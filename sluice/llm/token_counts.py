@@ -14,13 +14,16 @@ Whatever the rule, a document's section counts add up to its token count. Vocabu
 byte-level merges; the driver reads the file and sends it to the executors.
 
 Edge cases: a null text has no sections and 0 tokens; an empty one has one empty section with 0 tokens;
-special tokens' strings in a text are ordinary text; repeated rows are counted alike; other columns are
-ignored. Texts are encoded whole, however long.
+special tokens' strings in a text are ordinary text; repeated rows are counted alike, each row giving a row; null
+and repeated ids are passed on; an empty table gives no rows; other columns are ignored. Texts are encoded whole,
+however long: white space in runs of 65536 characters or more, on which the pattern's engine would give up, is cut out
+where the pattern would cut it and merged for itself.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how such vocabularies split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "end", "most", "share")
+#: White space in such runs, or longer, goes round the pattern's engine, which gives up on very long ones.
+LONG_SPACE = re.compile(r"\s{65536,}")
 
 
 class Encoder:
@@ -56,6 +61,19 @@ class Encoder:
         return self.made
 
 
+    def ids(self, text: str) -> list[int]:
+        """Token ids of a whole text. The pattern takes a run of white space but for its last character, or all of it at the
+        text's end, as one; no other match holds more than one white-space character, its first. So a long run can be cut out."""
+        enc, out, at = self.get()[0], [], 0
+        if len(text) >= 65536:
+            for m in LONG_SPACE.finditer(text):
+                end = m.end() if m.end() == len(text) else m.end() - 1
+                out += enc.encode_ordinary(text[at : m.start()])
+                out += enc._encode_single_piece(text[m.start() : end].encode("utf-8", "replace"))
+                at = end
+        return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def line_sections(text: str) -> np.ndarray:
     """Borders of a text's lines in characters: 0, ..., its length. A line holds its break."""
     at, cut = -1, [0]
@@ -68,8 +86,8 @@ def line_sections(text: str) -> np.ndarray:
 
 def token_spans(encoder: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last character of each token. A character that several tokens share counts for each."""
-    enc, size = encoder.get()
-    ids = np.array(enc.encode_ordinary(text), np.int64)
+    size = encoder.get()[1]
+    ids = np.array(encoder.ids(text), np.int64)
     ends = np.cumsum(size[ids]) if len(ids) else np.zeros(0, np.int64)
     starts = ends - size[ids] if len(ids) else ends
     raw = text.encode("utf-8", "replace")
