@@ -57,7 +57,7 @@ _FOLD |= {base + d: str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8
 _HIDDEN = re.compile("[­​-‍⁠﻿]")
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLD)) + "­​-‍⁠﻿]")
 _NUMBER_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)(?<!\w){_NUMBER_WORD}(?:[\s,.-]{{1,3}}(?:{_NUMBER_WORD}|[0-9])(?!\w)){{3,}}|(?<!\w)[0-9](?:[\s,-]{{1,3}}{_NUMBER_WORD}(?!\w)){{3,}}")
+_SPELLED = re.compile(rf"(?i)(?<!\w){_NUMBER_WORD}(?:[\s,.()-]{{1,4}}(?:{_NUMBER_WORD}|[0-9])(?!\w)){{3,}}|(?<!\w)[0-9](?:[\s,()-]{{1,4}}{_NUMBER_WORD}(?!\w)){{3,}}")
 _SPELLED_ONE = re.compile(rf"(?i)(?<!\w){_NUMBER_WORD}(?!\w)")
 _AT = re.compile(r"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>|\[\s*@\s*\]|\(\s*@\s*\))\s*")
 _DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>)\s*")
@@ -77,11 +77,21 @@ _ENDS = frozenset(
     guru expert education university school health clinic care legal law fund bank money market marketing host hosting icu vip top wiki win work
     berlin hamburg koeln bayern wien london paris nyc tokyo moscow amsterdam brussels africa gmbh ltd llc inc swiss eus gal bzh scot wales""".split()
 )
+#: Of these, those that an address with " at " and plain dots may end with: not words of the languages at hand.
+_FIRM_ENDS = frozenset(e for e in _ENDS if len(e) > 2 and e not in ("cat", "int", "name", "pro", "post", "live", "life", "work", "works", "world", "today", "news", "space", "care", "fund", "law", "top", "win", "icu")) | frozenset("au br ch cn eu fr io jp nl pl ru uk".split())
+#: Words before " at example.com" in prose.
+_BEFORE_AT = frozenset(
+    """a an are as available back be been book bought buy by call check contact directly download email entry find found free get go guide here hosted
+    house how in is it join listed live located look looked looking looks mail mailbox me meet more myself now of off on one online only open or order out
+    page pages posted published read registered report see seen shop shops site sites sold start staying store them there these this today uk up us
+    visit visited visiting was we web website welcome were what where which work working works write you""".split()
+)
 _LOCALS = r"[A-Za-z0-9._%+-]{1,64}"
-_WORDY = re.compile(rf"(?i)(?<![\w.%+-]){_LOCALS}((?:\s++dot\s++{_LOCALS}){{0,3}})(\s++at\s++|@)({_LABEL}(?:(?:\s++dot\s++|\.){_LABEL}){{1,8}})(?!\w)")
-_WORDY_SEP = re.compile(r"(?i)\s+dot\s+|\.")
+_WORDY = re.compile(rf"(?i)(?<![\w.%+-])({_LOCALS})((?:\s++dot\s++{_LOCALS}){{0,3}})(\s++at\s++|_at_|\s++@\s++|@)({_LABEL}(?:(?:\s++dot\s++|_dot_|\s++\.\s?+|\.){_LABEL}){{1,8}})(?!\w)")
+_WORDY_SEP = re.compile(r"(?i)\s+dot\s+|_dot_|\s+\.\s?|\.")
 _WORDY_IP = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\s++dot\s++|\.)[0-9]++){3}")
 _WORDY_DOT = re.compile(r"(?i)\s+dot\s+")
+_PLAIN_AT = re.compile(r"(?i)(?:(?<=\s)at\s+|(?<=\s)@\s+|_at_)[a-z0-9][a-z0-9-]*(?:\s*\.|_dot_)\s?[a-z0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -167,8 +177,10 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if "dot" in low and _WORDY_DOT.search(text):
         return True
+    if (" @" in text or "at" in low) and _PLAIN_AT.search(low):
+        return True
     # two of the counted words in a row, though more are asked for: the outer ones may touch brackets
-    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    words = low.replace(",", " ").replace(".", " ").replace("-", " ").replace("(", " ").replace(")", " ").split()
     return b"\1\1" in bytes(map(_COUNTED.__contains__, words)) and bool(_SPELLED.search(text))
 
 
@@ -190,27 +202,33 @@ def normalise(text: str) -> Tape:
 
 
 def _wordy(tape: Tape, source: str) -> list[tuple[int, int, str]]:
-    """Edits for addresses with " at " or " dot " in words, in any mix with "@", "." and the forms in brackets.
+    """Edits for addresses with " at " or " dot " in words, "_at_" or " @ ", in any mix with "@", "." and the forms in brackets.
 
-    With " at " a dot has to be disguised too ("look at example.com" is prose). The domain ends with the last
-    name that _ENDS has; where the "@" or a dot is a sign, and no dot is plain, with any of two letters or more.
+    The domain ends with the last name that _ENDS has; where the "@" or a dot is a sign, and no dot is plain, with any of two
+    letters or more. With " at " and plain dots alone the end has to be one of _FIRM_ENDS, and the word before none of
+    _BEFORE_AT ("look at example.com" is prose). A dot after white space counts after " @ " alone.
     """
     edits, at, whole = [], 0, tape.text
     while m := _WORDY.search(whole, at):
-        at = m.start(2)
-        word = whole[at : m.end(2)] != "@"
-        dots = list(_WORDY_SEP.finditer(whole, *m.span(3)))
-        local = [(d.start(), d.end(), ".") for d in _WORDY_DOT.finditer(whole, *m.span(1))]
+        at = m.start(3)
+        sign = m[3]
+        word, loose = "@" not in sign, "@" in sign and sign != "@"
+        dots = list(_WORDY_SEP.finditer(whole, *m.span(4)))
+        local = [(d.start(), d.end(), ".") for d in _WORDY_DOT.finditer(whole, *m.span(2))]
         for n in range(len(dots), 0, -1):
-            end = dots[n].start() if n < len(dots) else m.end(3)
+            end = dots[n].start() if n < len(dots) else m.end(4)
             name = whole[dots[n - 1].end() : end].lower()
-            worded = [(d.start(), d.end(), ".") for d in dots[:n] if d[0] != "."]
+            edited = [(d.start(), d.end(), ".") for d in dots[:n] if d[0] != "."]
+            spaced = sum("." in d[0] and d[0] != "." for d in dots[:n])
             marked = [d[0] == "." and source[tape.start[d.start()] : tape.end[d.start()]] != "." for d in dots[:n]]
-            plain = n - len(worded) - sum(marked)
-            if name not in _ENDS and not (len(name) > 1 and name.isalpha() and not plain and (not word or any(marked))):
+            plain = n - len(edited) - sum(marked)
+            if spaced and not loose:
+                continue
+            if name not in _ENDS and not (len(name) > 1 and name.isalpha() and not plain and not loose and (not word or any(marked))):
                 continue
-            if plain < n if word else worded or local:
-                edits += [*local, *([(*m.span(2), "@")] if word else []), *worded]
+            prose = word and plain == n and not local and sign != "_at_" and (name not in _FIRM_ENDS or m[1].lower() in _BEFORE_AT)
+            if loose or (word and not prose) or (not word and (edited or local)):
+                edits += [*local, *([(*m.span(3), "@")] if word or loose else []), *edited]
                 at = end
                 break
     return edits
