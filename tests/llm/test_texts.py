@@ -130,33 +130,15 @@ def test_token_counts_in_spark(spark):
         token_counts.section_tokens(spark, F.col("text"), rule="other")
 
 
-def repeats(rows, least):
-    gone, seen = {}, set()
-    for d, t in sorted(rows):
-        s = [(x.strip(" \t\r\x0b\x0c"), len(x.encode().split())) for x in (t or "").split("\n") if x.encode().split()]
-        gone[d] = set()
-        for i in range(len(s)):
-            w = 0
-            for j in range(i, len(s)):
-                w += s[j][1]
-                if w >= least:
-                    k = tuple(x[0] for x in s[i : j + 1])
-                    if k in seen:
-                        gone[d].update(range(i, j + 1))
-                    seen.add(k)
-                    break
-    return gone
-
-
 @pytest.mark.parametrize("least", [1, 12, 25])
-def test_line_dedup_against_all_windows(spark, least):
+def test_line_dedup_against_all_runs(spark, least):
     rng = random.Random(4)
     lines = ["w" + str(i) + " b" * rng.randint(0, 6) for i in range(12)] + [" ", "", "\t"]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(1000, None), (1001, ""), (1002, "\n\n"), (1003, "w1\nw2")]
     rows += [(1004, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit("clash")).withColumn("m", F.lit(2))
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df, lines_col="went", min_words=least).collect()}
-    want = repeats(rows, least)
+    want = runs_with_an_earlier_copy(rows, least)
     for d, t in rows:
         words = [i for i, x in enumerate((t or "").split("\n")) if x.encode().split()]
         went = sorted(words[k] for k in want[d])
@@ -177,7 +159,7 @@ def runs_with_an_earlier_copy(rows, least):
     """Of each document the lines in any run of least words or more that occurred before: all runs against all positions before."""
     gone, seen = {}, set()
     for d, t in sorted(rows, key=lambda x: x[0]):
-        s = [(x.strip(), len(x.split())) for x in (t or "").split("\n") if x.split()]
+        s = [(x.encode().strip(), len(x.encode().split())) for x in (t or "").split("\n") if x.encode().split()]
         gone[d] = set()
         for i in range(len(s)):
             for j in range(i + 1, len(s) + 1):
@@ -196,7 +178,7 @@ def test_later_copies_of_maximal_runs_go_whole(spark, least):
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for i in range(60)]
     rows += [(100 + i, "x y\n" + rows[i][1] + "\nz") for i in range(10)] + [(200 + i, rows[i][1]) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.went for r in line_dedup.dedup_lines(df, lines_col="went", min_words=least, whole=True).collect()}
+    out = {r.doc_id: r.went for r in line_dedup.dedup_lines(df, lines_col="went", min_words=least).collect()}
     want = runs_with_an_earlier_copy(rows, least)
     assert out == {d: sorted(want[d]) if t else [] for d, t in rows}
 
@@ -206,7 +188,7 @@ def test_line_dedup_query_takes_short_last_lines(spark, tmp_path):
     texts = ["\n".join(" ".join(f"s{k}l{j}w{i}" for i in range(n)) for j, n in enumerate(s)) for k, s in enumerate(shapes)]
     rows = [(c * 10 + k, t) for c in range(3) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r.doc_id: (r.text, r.deleted_lines) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    out = {r.doc_id: (r.text, [int(i) for i in r.deleted_lines.split(",") if i]) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {d: (t, []) if d < 10 else ("", list(range(len(shapes[d % 10])))) for d, t in rows}
 
 
@@ -261,3 +243,24 @@ def test_no_exact_copy_survives_the_pipelines_dedup(spark, tmp_path):
         stages[name](spark, docs, "").write.parquet(out := f"{tmp_path}/{name}")
         docs = spark.read.parquet(out)
         assert {r.doc_id: r.text for r in docs.collect()} == {10_000_000 + k: t for k, t in enumerate(texts)}, name
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Equal ids with other texts, equal rows, null ids, one line many times, clashing names."""
+    run = "\n".join(f"line {i} " + "w " * 20 for i in range(5))
+    rows = [(1, run, 0), (2, run + "\nunique only line " + "u " * 60, 1), (2, "another text\n" + run, 2), (None, run, 3), (None, None, 4), (7, run, 5), (7, run, 5), (8, "\n".join(["same same"] * 200), 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int").withColumn("r", F.lit("clash"))
+    out = line_dedup.dedup_lines(df, lines_col="went").collect()
+    got = {r.h: (r.doc_id, r.text, r.went) for r in out}
+    assert len(out) == len(rows) and {r.r for r in out} == {"clash"}
+    assert got[0][1] == run and got[1][1] == "unique only line " + "u " * 60 and got[2][1] == "another text"
+    assert got[3][1:] == (run, []) and got[4][1] is None and [r.text for r in out if r.h == 5] == ["", ""]
+    # of 200 equal lines any 25 have 50 words: the runs from line 1 on have an earlier copy, so one line stays
+    assert got[6][1] == "same same" and got[6][2] == list(range(1, 200))
+
+
+def test_maximal_runs_are_found(spark):
+    words = [" ".join(f"a{i}w{j}" for j in range(30)) for i in range(9)]
+    rows = [(1, "\n".join(words)), (2, "\n".join(["x", *words[2:7], "y"])), (3, "\n".join([*words[4:9], "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.at, r.m) for r in line_dedup.repeated_runs(df).collect()} == {(2, 1, 5), (3, 0, 5)}
