@@ -8,8 +8,10 @@ documented bound, the lowest seeded hashes). Since the output is linear in the m
 learned number for each distinct word, kept in a bounded cache by each Python worker.
 
 Edge cases: null and empty texts, and texts without words, have the zero vector and so the score of the
-output bias; with no labelled row all scores are 0.5; repeated rows get equal scores; a labelled document
-whose id occurs more than once teaches once for each of its rows. Whole texts are read.
+output bias; with no labelled row all scores are 0.5; labels other than 0 and 1 and null ids teach nothing;
+repeated rows get equal scores; a labelled document whose id occurs more than once, in either table, teaches once for
+each pair of its rows, within the sample's bound; an empty table gives no rows; other columns are ignored. Whole
+texts are read, in slices of bounded bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import crc_mod, read_table
+from sluice.llm._common import crc_mod, read_table, slices
 
 BITS = 16
 ORDERS = 4
@@ -123,6 +125,23 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _sample_hash(id_col):
+    return F.pmod(F.xxhash64(F.lit(23), id_col.cast("string")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 1500, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Documents with their label, of each label those whose ids have the lowest hashes.
+
+    The ids are picked from the labels alone, at most sample_per_label of each label, so what meets the documents is
+    two small lists and no text moves. A label without a document takes a place and teaches nothing.
+    """
+    rows = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), _sample_hash(F.col(id_col)).alias("__u"))
+    picked = [rows.filter(F.col("__label") == y).orderBy("__u", "__id").limit(sample_per_label) for y in (0, 1)]
+    ids = F.broadcast(picked[0].union(picked[1]).select("__id", "__label"))  # 2 * sample_per_label rows at most
+    names = [c for c in docs.columns if c != label_col]
+    return docs.join(ids, F.col(id_col) == F.col("__id")).select(*[F.col(f"`{c}`") for c in names], F.col("__label").alias(label_col))
+
+
 def fit(labelled: DataFrame, *, sample_per_label: int = 1500, dim: int = 8, epochs: int = 12, rate: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learn from the rows given (label 0 or 1). Features are made on the executors; at most sample_per_label
     sparse rows of a label reach the driver."""
@@ -130,7 +149,7 @@ def fit(labelled: DataFrame, *, sample_per_label: int = 1500, dim: int = 8, epoc
     if not n:
         return QualityModel(np.zeros(1 << BITS, np.float32), 0.0)
     share = F.create_map(*[x for k, v in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, sample_per_label / v)))])
-    u = F.pmod(F.xxhash64(F.lit(23), F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    u = _sample_hash(F.col(id_col))
     picked = labelled.filter(F.col(label_col).isin(0, 1)).filter(u < share[F.col(label_col)]).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), u.alias("u"))
 
     def count(batches):
@@ -173,7 +192,7 @@ def score(spark: SparkSession, model: QualityModel, text):
 
     @F.arrow_udf("double")
     def scored(col: pa.Array) -> pa.Array:
-        parts = [shared.value.scores(col.slice(i, 512).to_pylist()) for i in range(0, len(col), 512)]
+        parts = [shared.value.scores(col.slice(i, n).to_pylist()) for i, n in slices(col, 512, 1 << 21)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return scored(text)
@@ -182,6 +201,6 @@ def score(spark: SparkSession, model: QualityModel, text):
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).select("doc_id", "quality")
-    model = fit(docs.filter(crc_mod(F.col("doc_id"), 3) != 1).join(labels, "doc_id"))
+    model = fit(labelled_sample(docs, labels))
     s = docs.select("doc_id", score(spark, model, F.col("text")).alias("score"))
     return s.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
