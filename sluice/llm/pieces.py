@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's texts are cut where no piece can cross (before the white-space mark, if no piece of the model has
-the mark after another character); equal cuts are kept once. Their concatenation is indexed by a suffix
+A batch's texts are cut where no piece can cross: between two characters that no piece of the model has next to
+each other. Equal cuts are kept once. Their concatenation is indexed by a suffix
 array over as many characters as the longest piece has. Every piece is found in it by binary search; its range of
 suffixes gives all its occurrences. These edges (start, end, piece) are sorted by position and relaxed: the
 text up to each position has one last piece, and an edge is it if the last piece up to the edge's start and
@@ -11,31 +11,42 @@ segmentation, exactly, since merges of neighbours are all that can tell segmenta
 Pair test: undo the merges of both pieces at their common border, latest first; if at any time the two
 border pieces would have been merged before the merge that came next, the pair is not left as it is.
 
+Cuts met before come from a bounded cache, found by a hash and compared character by character; of a full cache
+the older half goes. A cut of more than LONG characters is indexed in windows and relaxed position by position,
+so time and memory are linear in its length.
+
 Model files are those of the sentencepiece library: merge models (BPE), identity normalisation, with or
 without byte fallback. Others are refused. The file is read by the driver and sent to the executors; its
 size does not depend on the corpus.
 
 Edge cases: a null text has a null list; an empty text an empty one; characters outside the vocabulary are
-byte pieces (or the unknown piece without byte fallback); long texts without a cut are indexed alone;
-repeated texts are encoded alike; other columns are ignored by the query. Decoding gives the normalised text:
-the mark stands for a space, and one leading space is dropped if the model adds one.
+byte pieces (or the unknown piece without byte fallback); repeated texts and rows are encoded alike, each row
+giving a row; null and repeated ids are passed on; an empty table gives no rows; other columns are ignored by the
+query. Decoding gives the normalised text: the mark stands for a space, and one leading space is dropped if the
+model adds one.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import read_table
+from sluice.llm._common import read_table, slices
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 256
+#: Rows and bytes of text that are worked on at a time.
+ROWS, BYTES = 256, 1 << 21
+#: A cut of more characters is relaxed alone.
+LONG = 192
+#: Characters of the cuts in the cache.
+CACHED = 3_000_000
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _END = 1 << 30  # merge order of what is not merged
 
 
@@ -50,9 +61,6 @@ class PieceModel:
     pair_order: np.ndarray  # the order of their merge
     usable: np.ndarray  # pieces that their own text is encoded as
     prefix: bool = True
-    cuttable: bool = True
-    cache: dict[str, int] = field(default_factory=dict)
-    held: int = 0
 
     @staticmethod
     def load(path: str) -> "PieceModel":
@@ -111,22 +119,41 @@ class PieceModel:
                     if usable[i]:
                         left[i], right[i] = ids[last[0]], ids[last[1]]
         sort = np.argsort(np.array(keys, np.int64), kind="stable")
-        crossing = any(MARK in p.lstrip(MARK) for p in ids)
-        return PieceModel(pieces, kinds, order, left, right, np.array(keys, np.int64)[sort], np.array(orders, np.int64)[sort], usable, prefix, not crossing)
+        return PieceModel(pieces, kinds, order, left, right, np.array(keys, np.int64)[sort], np.array(orders, np.int64)[sort], usable, prefix)
 
     # what follows is derived once in each process
     def tables(self):
         if not hasattr(self, "_tables"):
             used = [i for i in np.flatnonzero(self.usable) if self.kinds[i] == "normal"]
-            used.sort(key=lambda i: len(self.pieces[i]))
+            used.sort(key=lambda i: self.pieces[i])  # as suffixes are, so that searches follow each other closely
             bytes_of = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == "byte"}
             unk = next((i for i, k in enumerate(self.kinds) if k == "unknown"), 0)
             self._tables = (np.array(used), [self.pieces[i] for i in used], np.array([len(self.pieces[i]) for i in used], np.int32), max((len(self.pieces[i]) for i in used), default=1), bytes_of, unk)
         return self._tables
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """A class for each code point, and which two classes some piece has next to each other."""
+        if not hasattr(self, "_joined"):
+            normal = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k == "normal"]
+            chars = sorted({c for p in normal if len(p) > 1 for c in p})
+            number = {c: i for i, c in enumerate(chars, 2)}
+            classes = np.zeros(0x110000, np.uint16)  # 0: in no piece; 1: a piece of its own only
+            classes[[ord(p) for p in normal if len(p) == 1]] = 1
+            classes[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
+            table = np.zeros((len(chars) + 2, len(chars) + 2), bool)
+            for p in normal:
+                for a, b in zip(p, p[1:], strict=False):
+                    table[number[a], number[b]] = True
+            # without byte fallback neighbouring unknown characters are one piece; a character that is in longer pieces only may be unknown
+            if "byte" not in self.kinds:
+                odd = [0, *(number[c] for c in chars if c not in normal)]
+                table[np.ix_(odd, odd)] = True
+            self._joined = classes, table
+        return self._joined
+
     def __reduce_ex__(self, protocol):
-        keep = {k: v for k, v in self.__dict__.items() if k not in ("_tables", "_bytes", "flat", "first", "size")} | {"cache": {}, "held": 0}
-        return (_restore, (keep,))
+        names = self.__dataclass_fields__
+        return (_restore, ({k: v for k, v in self.__dict__.items() if k in names},))
 
     def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges leave the neighbours a, b as they are (ids of usable pieces)."""
@@ -152,12 +179,42 @@ class PieceModel:
             a, b = np.where(of_a, self.right[a], a), np.where(of_a, b, self.left[b])
         return ok
 
+    def stays_one(self, a: int, b: int) -> bool:
+        """``stays`` for one pair."""
+        if not hasattr(self, "_merges"):
+            self._merges = dict(zip(self.pair_keys.tolist(), self.pair_order.tolist(), strict=True)), self.order.tolist(), self.left.tolist(), self.right.tolist()
+        merges, order, left, right = self._merges
+        limit, after, n = _END, False, len(self.pieces)
+        while True:
+            o = merges.get(a * n + b)
+            if o is not None and (o < limit or (o == limit and after)):
+                return False
+            oa, ob = order[a], order[b]
+            if oa < 0 and ob < 0:
+                return True
+            if oa > ob:
+                limit, after, a = oa, False, right[a]
+            else:
+                limit, after, b = ob, True, left[b]
+
+    def edges(self, codes: np.ndarray, left_over: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, piece, length) of every occurrence of a piece; left_over: characters from each position to its part's end."""
+        used, texts, lengths, longest, _, _ = self.tables()
+        suffixes, keys, pack = suffix_array(codes, left_over, min(longest, int(left_over.max())))
+        found, lo, hi = piece_ranges(texts, keys, pack)
+        starts = suffixes[_ranges(lo, hi)].astype(np.int32)
+        piece = np.repeat(used[found].astype(np.int32), hi - lo)
+        length = np.repeat(lengths[found], hi - lo)
+        # characters that are no piece: an edge of their own, numbered after the pieces, never merged
+        known = np.zeros(len(codes), bool)
+        known[starts[length == 1]] = True
+        odd = np.flatnonzero(~known)
+        return np.r_[starts, odd.astype(np.int32)], np.r_[piece, np.full(len(odd), len(self.pieces), np.int32)], np.r_[length, np.ones(len(odd), np.int32)]
+
     def segment(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all parts and where each part's begin (one more at the end), by suffix array, edges and relaxation over their concatenation."""
-        used, texts, lengths, longest, bytes_of, unk = self.tables()
         n_ids = len(self.pieces)
-        joined = "".join(parts)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _code_points("".join(parts))
         size = np.array([len(p) for p in parts], np.int64)
         begin = np.r_[0, np.cumsum(size)]
         n = len(codes)
@@ -166,18 +223,7 @@ class PieceModel:
         owner = np.repeat(np.arange(len(parts)), size)
         local = np.arange(n) - begin[:-1][owner]
         left_over = size[owner] - local
-        suffixes, keys, pack = suffix_array(codes, left_over, longest)
-        found, lo, hi = piece_ranges(texts, keys, pack)
-        starts = suffixes[_ranges(lo, hi)].astype(np.int32)
-        piece = np.repeat(used[found].astype(np.int32), hi - lo)
-        length = np.repeat(lengths[found], hi - lo)
-        # characters that are no piece: an edge of their own, numbered after the pieces, never merged
-        known = np.zeros(n, bool)
-        known[starts[length == 1]] = True
-        odd = np.flatnonzero(~known)
-        starts = np.r_[starts, odd.astype(np.int32)]
-        piece = np.r_[piece, np.full(len(odd), n_ids, np.int32)]
-        length = np.r_[length, np.ones(len(odd), np.int32)]
+        starts, piece, length = self.edges(codes, left_over)
         step = local[starts].astype(np.int32) + length
         order = np.argsort(step.astype(np.uint16) if size.max() < 1 << 16 else step, kind="stable")
         starts, piece, length, step = starts[order], piece[order], length[order], step[order]
@@ -199,10 +245,7 @@ class PieceModel:
             good[test] = self.stays(before[test], p[test])
             last[e[good] - 1] = p[good]
             came[e[good] - 1] = s[good]
-        return self._walk(parts, codes, begin, size, last, came, bytes_of, unk, n_ids)
-
-    def _walk(self, parts, codes, begin, size, last, came, bytes_of, unk, n_ids):
-        """Back from each part's end along the last pieces, all parts at a time."""
+        # back from each part's end along the last pieces, all parts at a time
         at = np.where(size > 0, begin[1:] - 1, -1)
         who = np.flatnonzero(size > 0)
         owners, ids, spots = [], [], []
@@ -216,7 +259,45 @@ class PieceModel:
             who, pos = who[go], nxt[go]
         owners, ids, spots = np.concatenate(owners), np.concatenate(ids), np.concatenate(spots)
         order = np.argsort(spots, kind="stable")
-        owners, ids, spots = owners[order], ids[order], spots[order]
+        return self._spelled(codes, owners[order], ids[order], spots[order], len(parts))
+
+    def segment_long(self, part: str, window: int = 1 << 16) -> np.ndarray:
+        """Piece ids of one long part: its edges window by window, relaxed position by position."""
+        codes, n_ids, longest = _code_points(part), len(self.pieces), self.tables()[3]
+        n = len(codes)
+        last, came, memo = array("i", bytes(4 * n)), array("i", bytes(4 * n)), {}
+        for a in range(0, n, window):
+            b, back = min(n, a + window), max(0, a - longest)  # edges that end in (a, b]
+            starts, piece, length = self.edges(codes[back:b], np.arange(b - back, 0, -1))
+            starts = starts + back
+            ends = starts + length
+            inside = np.flatnonzero(ends > a)
+            inside = inside[np.argsort(ends[inside], kind="stable")]
+            for s, p, e in zip(starts[inside].tolist(), piece[inside].tolist(), ends[inside].tolist(), strict=True):
+                before = last[s - 1] if s else n_ids
+                if before != n_ids and p != n_ids:
+                    k = before * n_ids + p
+                    ok = memo.get(k)
+                    if ok is None:
+                        ok = memo[k] = self.stays_one(before, p)
+                    if not ok:
+                        continue
+                last[e - 1] = p
+                came[e - 1] = s
+            if len(memo) > 1_000_000:
+                memo.clear()
+        ids, spots, at = array("i"), array("i"), n - 1
+        while at >= 0:
+            ids.append(last[at])
+            spots.append(came[at])
+            at = came[at] - 1
+        ids, spots = (np.array(x, np.int64)[::-1] for x in (ids, spots))
+        return self._spelled(codes, np.zeros(len(ids), np.int64), ids, spots, 1)[0]
+
+    def _spelled(self, codes, owners, ids, spots, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in order and where each part's begin; characters that are no piece become byte pieces or unknown ones."""
+        _, _, _, _, bytes_of, unk = self.tables()
+        n_ids = len(self.pieces)
         odd = np.flatnonzero(ids == n_ids)
         if len(odd):
             forms = [[bytes_of[b] for b in chr(c).encode("utf-8", "replace")] if bytes_of else [unk] for c in codes[spots[odd]].tolist()]
@@ -227,56 +308,123 @@ class PieceModel:
             if not bytes_of:  # neighbouring unknown characters are one unknown piece
                 again = was_odd & np.r_[False, was_odd[:-1] & (owners[1:] == owners[:-1])]
                 ids, owners = ids[~again], owners[~again]
-        cut = np.searchsorted(owners, np.arange(len(parts) + 1))
-        return ids.astype(np.int32), cut
-
-    def encode(self, texts: list[str | None], part_chars: int = 1 << 17, most: int = 2_500_000) -> list[np.ndarray | None]:
-        """Piece ids of each text. Cuts seen before come from a cache, emptied at `most` characters."""
-        cut = [self._cuts(t) for t in texts]
-        if self.held > most:
-            self.cache, self.held = {}, 0
-        if not self.held:
-            self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        new = sorted(set().union(*(c for c in cut if c)).difference(self.cache))
-        group, chars = [], 0
-        for i, c in enumerate(new):
-            group.append(c)
-            chars += len(c)
-            if chars >= part_chars or i == len(new) - 1:
+        return ids.astype(np.int32), np.searchsorted(owners, np.arange(parts + 1))
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts, and where each text's begin (one more at the end); null texts have none."""
+        lead = MARK if self.prefix else ""
+        marked = [lead + t.replace(" ", MARK) if t else "" for t in texts]
+        rows = np.r_[0, np.cumsum([len(t) for t in marked])]
+        joined = "".join(marked)
+        del marked
+        codes = _code_points(joined)
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        classes, table = self.joined()
+        kind = classes[codes]
+        fresh = np.r_[True, ~table[kind[:-1], kind[1:]]]
+        fresh[rows[:-1][rows[:-1] < len(codes)]] = True
+        start = np.flatnonzero(fresh)
+        del kind, fresh
+        size = np.diff(np.r_[start, len(codes)])
+        # of each cut a hash: a sum of mixed (character, place) words
+        v = (codes.astype(np.uint64) | ((np.arange(len(codes)) - np.repeat(start, size)).astype(np.uint64) << np.uint64(24))) * _P
+        v ^= v >> np.uint64(29)
+        v *= _Q
+        v ^= v >> np.uint64(32)
+        hashes, spot, which = np.unique(np.add.reduceat(v, start), return_index=True, return_inverse=True)
+        del v
+        slot = self._slots(hashes, start[spot], start[spot] + size[spot], joined)[which]
+        # equal hashes of different cuts: those that differ from the cached text are segmented for themselves
+        other = self.chars[slot] != size
+        if not other.any():
+            other = ~np.logical_and.reduceat(self.text[_ranges(self.text_at[slot], self.text_at[slot] + size)] == codes, start)
+        if other.any():
+            at = np.flatnonzero(other)
+            slot[at] = self._add([joined[start[i] : start[i] + size[i]] for i in at])
+        n = self.size[slot]
+        ids = self.flat[_ranges(self.first[slot], self.first[slot] + n)]
+        upto = np.r_[0, np.cumsum(n)]
+        return ids, upto[np.searchsorted(start, rows)]
+
+    def _slots(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, joined: str) -> np.ndarray:
+        """The cache slot of each hash (ascending, no two equal); new ones are segmented. begin, end: where in `joined` one has its text."""
+        if not hasattr(self, "flat"):
+            self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.text, self.text_at, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.known, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.text) > CACHED:  # the older half goes
+            k = len(self.size) // 2
+            a, b = int(self.first[k]), int(self.text_at[k])
+            self.flat, self.first, self.size = self.flat[a:].copy(), self.first[k:] - a, self.size[k:].copy()
+            self.text, self.text_at, self.chars = self.text[b:].copy(), self.text_at[k:] - b, self.chars[k:].copy()
+            stay = self.slot_of >= k
+            self.known, self.slot_of = self.known[stay], self.slot_of[stay] - k
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        have = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        slot = np.where(have, self.slot_of[at], -1) if len(self.known) else np.full(len(hashes), -1)
+        new = np.flatnonzero(~have)
+        if len(new):
+            slot[new] = self._add([joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            known, slots = np.r_[self.known, hashes[new]], np.r_[self.slot_of, slot[new]]
+            order = np.argsort(known, kind="stable")
+            self.known, self.slot_of = known[order], slots[order]
+        return slot
+
+    def _add(self, cuts: list[str], part_chars: int = 1 << 17) -> np.ndarray:
+        """Segments cuts into new slots of the cache."""
+        n0, flat, counts, group, chars = len(self.size), [self.flat], [], [], 0
+        short = sorted((i for i, c in enumerate(cuts) if len(c) <= LONG), key=lambda i: len(cuts[i]))  # of like lengths together
+        slots = np.zeros(len(cuts), np.int64)
+        done: list[int] = []
+        for k, i in enumerate(short):
+            group.append(cuts[i])
+            chars += len(cuts[i])
+            if chars >= part_chars or k == len(short) - 1:
                 ids, at = self.segment(group)
-                self.cache.update(zip(group, range(len(self.size), len(self.size) + len(group)), strict=True))
-                self.first = np.r_[self.first, at[:-1] + len(self.flat)]
-                self.size = np.r_[self.size, np.diff(at).astype(np.int32)]
-                self.flat = np.r_[self.flat, ids]
-                self.held += chars
+                flat.append(ids)
+                counts.append(np.diff(at))
                 group, chars = [], 0
-        get, none = self.cache.__getitem__, np.zeros(0, np.int32)
-
-        def ids_of(c: list[str]) -> np.ndarray:
-            k = np.fromiter(map(get, c), np.int64, len(c))
-            return self.flat[_ranges(self.first[k], self.first[k] + self.size[k])]
-
-        return [None if c is None else ids_of(c) if c else none for c in cut]
-
-    def _cuts(self, text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        if not text:
-            return []
-        text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return _CUT.findall(text) if self.cuttable else [text]
+        done += short
+        for i, c in enumerate(cuts):
+            if len(c) > LONG:
+                flat.append(self.segment_long(c))
+                counts.append(np.array([len(flat[-1])]))
+                done.append(i)
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        slots[done] = np.arange(n0, n0 + len(cuts))
+        size = np.array([len(cuts[i]) for i in done], np.int64)
+        self.first = np.r_[self.first, len(self.flat) + np.r_[0, np.cumsum(counts)[:-1]]] if len(cuts) else self.first
+        self.size = np.r_[self.size, counts]
+        self.flat = np.concatenate(flat)
+        self.text_at = np.r_[self.text_at, len(self.text) + np.r_[0, np.cumsum(size)[:-1]]] if len(cuts) else self.text_at
+        self.chars = np.r_[self.chars, size]
+        self.text = np.r_[self.text, _code_points("".join(cuts[i] for i in done))]
+        return slots
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Piece ids of each text."""
+        ids, at = self.encode_flat(texts)
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, at, at[1:], strict=False)]
+
+    def decode_flat(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of the lists of ids that begin at `at`: byte pieces joined as UTF-8, marks as spaces, the added space dropped."""
+        if not hasattr(self, "_bytes"):
+            form = [bytes([int(p[1:-1], 16)]) if k == "byte" else b"" if k == "control" else " ⁇ ".encode() if k == "unknown" else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in zip(self.pieces, self.kinds, strict=True)]
+            self._bytes = pa.array(form, pa.large_binary())
+        spelled = self._bytes.take(pa.array(ids))
+        upto = np.frombuffer(spelled.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        raw = memoryview(spelled.buffers()[2]) if len(ids) and spelled.buffers()[2] is not None else memoryview(b"")
+        texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(upto[at[:-1]].tolist(), upto[at[1:]].tolist(), strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.prefix else texts
 
     def decode(self, ids: np.ndarray | list[int] | None) -> str | None:
-        """The text of a list of ids: byte pieces joined as UTF-8, marks as spaces, the added space dropped."""
-        if ids is None:
-            return None
-        if not hasattr(self, "_bytes"):
-            self._bytes = [bytes([int(p[1:-1], 16)]) if k == "byte" else b"" if k == "control" else " ⁇ ".encode() if k == "unknown" else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in zip(self.pieces, self.kinds, strict=True)]
-        text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The text of a list of ids."""
+        return None if ids is None else self.decode_flat(np.asarray(ids, np.int32), np.array([0, len(ids)]))[0]
 
 
-_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _restore(state: dict) -> PieceModel:
@@ -328,7 +476,7 @@ def suffix_array(codes: np.ndarray, left_over: np.ndarray, depth: int):
 
 
 def piece_ranges(texts: list[str], keys: list[np.ndarray], pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the pieces (sorted by length) that occur: their index, and the first and past-the-last suffix that begins with them."""
+    """For the pieces (in the order of their code points) that occur: their index, and the first and past-the-last suffix that begins with them."""
     alphabet, bits, per, words = pack
     size = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -381,7 +529,8 @@ def encode(spark: SparkSession, model: PieceModel, text):
 
     @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
-        return _lists([x for i in range(0, len(col), ROWS) for x in shared.value.encode(col.slice(i, ROWS).to_pylist())])
+        parts = [_lists(t, *shared.value.encode_flat(t)) for t in (col.slice(i, n).to_pylist() for i, n in slices(col, ROWS, BYTES))]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return run(text)
 
@@ -392,16 +541,14 @@ def decode(spark: SparkSession, model: PieceModel, ids):
 
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([shared.value.decode(v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else None) for v in col], pa.string())
+        return pa.array([shared.value.decode(v.values.to_numpy(zero_copy_only=False) if v.is_valid else None) for v in col], pa.string())
 
     return run(ids)
 
 
-def _lists(rows: list[np.ndarray | None]) -> pa.Array:
-    offsets = np.r_[0, np.cumsum([0 if r is None else len(r) for r in rows])].astype(np.int32)
-    values = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
-    mask = pa.array([r is None for r in rows], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=mask)
+def _lists(texts: list[str | None], ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    mask = pa.array([t is None for t in texts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
@@ -415,14 +562,13 @@ def encoded(spark: SparkSession, docs: DataFrame, model_file: str = MODEL_FILE)
         """In slices, so that no more than a slice's lists are held beside a batch."""
         model = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for i, k in slices(batch.column("text"), ROWS, BYTES):
+                part = batch.slice(i, k)
                 texts = part.column("text").to_pylist()
-                ids = model.encode(texts)
-                same = [model.decode(None if x is None else x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
-                n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), n, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
-                del texts, ids, same
+                ids, at = model.encode_flat(texts)
+                same = pa.array([t is None or t == back for t, back in zip(texts, model.decode_flat(ids, at), strict=True)], pa.bool_())
+                n = pa.array(np.diff(at), pa.int64(), mask=np.array([t is None for t in texts], bool))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(texts, ids, at), n, same], ["doc_id", "ids", "n_ids", "round_trip"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean")
