@@ -7,8 +7,10 @@ fifth of the sample is kept back from the weights and used for temperature calib
 
 Edge cases: a null text, an empty one and one without letters get ``und`` with score 1.0; with no
 labelled row to learn from every document is ``und`` with score 0.0; repeated rows and ties give equal
-rows (the first language by code point wins a tie). Extra columns of the input are kept by ``attach``
-and ignored by ``predict``. Texts are processed whole: the features of a long text are summed in parts.
+rows (the first language by code point wins a tie); null ids are passed on and teach nothing in the query; an empty
+table gives no rows. Of a dirty label column the ``max_langs`` most frequent values are languages, as a model has 256 kB for
+each; ties go by code point. Other columns are kept by ``keep_identified`` and ignored by the query. Texts are
+processed whole: the features of a long text are summed in parts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import crc_mod, read_table
+from sluice.llm._common import crc_mod, read_table, slices
 
 BITS = 16
 ORDERS = 3
@@ -88,7 +90,7 @@ class LangModel:
     bias: np.ndarray
     temperature: float
 
-    def scores(self, texts: list[str], part: int = 1 << 19) -> tuple[list[str], np.ndarray]:
+    def scores(self, texts: list[str], part: int = 1 << 18) -> tuple[list[str], np.ndarray]:
         k = len(self.langs)
         langs, probs = [UNDETERMINED] * len(texts), np.ones(len(texts))
         if not k:
@@ -139,9 +141,9 @@ class LangModel:
         return langs, np.clip(probs, 0.0, 1.0)
 
 
-def sample(docs: DataFrame, sample_per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About sample_per_lang labelled rows of each language, by seeded hash; only the ids and labels are read for the counts."""
-    n = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
+def sample(docs: DataFrame, sample_per_lang: int, id_col: str, text_col: str, lang_col: str, max_langs: int = 1000) -> DataFrame:
+    """About sample_per_lang labelled rows of each of the max_langs most frequent languages, by seeded hash; only the ids and labels are read for the counts."""
+    n = {r[0]: r[1] for r in docs.groupBy(lang_col).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang_col).limit(max_langs).collect()}
     if not n:
         return docs.limit(0)
     share = F.create_map(*[x for k, v in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / v)))])
@@ -169,10 +171,10 @@ def document_frequencies(labelled: DataFrame, text_col: str = "text") -> tuple[i
     return int(total[-1]), total[:-1]
 
 
-def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, max_langs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from the rows given, which must all carry a language. Features are counted on the executors; at most
     sample_per_lang sparse rows of a language reach the driver."""
-    picked = sample(labelled, sample_per_lang, id_col, text_col, lang_col)
+    picked = sample(labelled, sample_per_lang, id_col, text_col, lang_col, max_langs)
 
     def count(batches):
         for b in batches:
@@ -242,8 +244,8 @@ def prediction(spark: SparkSession, model: LangModel, text):
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(col: pa.Array) -> pa.Array:
         langs, probs = [], []
-        for i in range(0, len(col), 256):
-            a, b = shared.value.scores([v or "" for v in col.slice(i, 256).to_pylist()])
+        for i, n in slices(col, 256, 1 << 20):
+            a, b = shared.value.scores([v or "" for v in col.slice(i, n).to_pylist()])
             langs += a
             probs.append(b)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(probs) if probs else [], pa.float64())], ["lang_pred", "score"])
