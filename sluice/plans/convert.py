@@ -33,6 +33,7 @@ class Report:
     rows: int = 0
     ragged: int = 0
     undecodable: int | None = None
+    unclosed_quote: bool = False  # the rest of the file is one record
     nulled: dict[str, int] = field(default_factory=dict)  # values that did not parse, by column
     seconds: float = 0.0
 
@@ -58,7 +59,7 @@ def typed(raw: RawTable, specs: list[ColumnSpec]) -> DataFrame:
 
 def ragged_rows(raw: RawTable, limit: int = SHOWN) -> list[str]:
     """The first ragged lines."""
-    return [r[0] for r in raw.rows.filter("_ragged").select("_line").take(limit)]
+    return [r[0] for r in raw.rows.filter("_ragged").select("_line", *raw.columns[:1]).take(limit)]  # the multi-line reader refuses to give the bad line alone
 
 
 def convert(spark: SparkSession, path: str, output: str | None = None, *, full_inference: bool = False, delimiter: str | None = None, single_file: bool = False, count_nulled: bool = False) -> Report:
@@ -67,7 +68,7 @@ def convert(spark: SparkSession, path: str, output: str | None = None, *, full_i
     try:
         raw = read_delimited(spark, path, delimiter)
         specs = infer_specs(raw, full_inference)
-        report = Report(output, raw.delimiter, specs, undecodable=raw.undecodable)
+        report = Report(output, raw.delimiter, specs, undecodable=raw.undecodable, unclosed_quote=raw.unclosed)
         seen = Observation()
         counts = [F.count("*").alias("rows"), F.count_if("_ragged").alias("ragged")]
         rows = raw.rows
@@ -82,6 +83,8 @@ def convert(spark: SparkSession, path: str, output: str | None = None, *, full_i
     except Exception as e:
         raise RuntimeError(f"converting {path} to {output} failed: {e}") from e
     report.seconds = time.time() - began
+    if report.unclosed_quote:
+        log.warning("%s has a quote that is never closed: the rest of its file is one record", path)
     if report.ragged:
         for line in ragged_rows(raw):
             log.warning("ragged row: %s", line)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from sluice.functions import tokens, units
 from sluice.operators import profile as prof
-from sluice.operators.typed import split_lines, typed_projection
+from sluice.operators.typed import parse_lines, split_lines, typed_projection
 from sluice.plans.convert import convert
+from sluice.plans.convert import ragged_rows as shown_ragged
 from sluice.shared import scratch_path
 from sluice.sources.dialect import delimiter_of
+from sluice.sources.scan import line_count, read_delimited
 from sluice.types import ColumnSpec
 
 
@@ -121,7 +123,7 @@ def unit_scaling(spark, sf_dir):
     d = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"timestampadd(MILLISECOND, {_MILLIS}, TIMESTAMP_NTZ'1970-01-01 00:00:00') AS ts")
     zero = F.lit("1970-01-01").cast("timestamp_ntz")
     ms = lambda c: F.timestamp_diff("MILLISECOND", zero, c)
-    return d.select("o_orderkey", ms(tokens.scale_unit(F.col("ts"), "s")).alias("s_ms"), ms(tokens.scale_unit(F.col("ts"), "ms")).alias("ms_ms"))
+    return d.select("o_orderkey", ms(tokens.scale_unit(F.col("ts"), "s")).alias("s_ms"), *[ms(tokens.scale_unit(F.col("ts"), u)).alias(f"{u}_ms") for u in ("ms", "us", "ns")])
 
 
 _LINES = _case("n_nationkey", ["n_name || ',' || n_name || ',x'", "n_name || ';' || n_name", "n_name || '|a|b'", "n_name || ':a:b'", "'a,b;c'", "'abc'", "'\"a,b\",c;d;e'"], "n_name || ' a b'")
@@ -251,7 +253,32 @@ def csv_roundtrip_multiline(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source")
 
 
+_PARSED = "CAST(o_orderkey AS STRING) || ',' || CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'off' ELSE 'perhaps' END || ',' || CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN ',over' ELSE '' END"
+
+
+def parse_lines_with_schema(spark, sf_dir):
+    """Lines without a header, typed by a given schema."""
+    lines = _table(spark, sf_dir, "orders").selectExpr(f"{_PARSED} AS value")
+    return parse_lines(lines, [ColumnSpec("a", "int64"), ColumnSpec("b", "boolean"), ColumnSpec("c", "date32")], ",")
+
+
+def file_report(spark, sf_dir):
+    """A file of several parts: its data lines, the ragged lines shown (ten at most), and the rows that equal the header."""
+    text, out = scratch_path(spark, "report-csv"), scratch_path(spark, "report-parquet")
+    d = _table(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 100 = 7 THEN 'key,status' WHEN o_orderkey % 50 = 3 THEN 'k,s,over' ELSE CAST(o_orderkey AS STRING) || ',' || o_orderstatus END AS value")
+    d.coalesce(1).write.text(f"{text}/part=0")
+    spark.createDataFrame([("key,status",)], "value string").coalesce(1).write.text(f"{text}/part=1")
+    head = spark.read.text(f"{text}/part=1").union(spark.read.text(f"{text}/part=0"))
+    head.coalesce(1).write.text(f"{text}/all")
+    raw = read_delimited(spark, f"{text}/all", ",")
+    report = convert(spark, f"{text}/all", out, delimiter=",")
+    alike = spark.read.parquet(out).filter("key = 'key' AND status = 'status'").count()
+    got = (line_count(spark, f"{text}/all"), len(shown_ragged(raw)), report.rows, report.ragged, alike)
+    return spark.createDataFrame([got], "n_lines long, n_shown long, n_rows long, n_ragged long, n_like_header long")
+
+
 QUERIES = {
+    "parse_lines": parse_lines_with_schema, "file_report": file_report,
     "null_tokens": null_tokens, "parse_bool": parse_bool, "parse_int": parse_int, "parse_float": parse_float, "parse_date": parse_date,
     "parse_timestamp": parse_timestamp, "timestamp_unit": timestamp_unit, "unit_scaling": unit_scaling, "delimiter_detect": delimiter_detect,
     "column_profile": column_profile, "infer_types": infer_types, "infer_sample_vs_full": infer_sample_vs_full, "ragged_rows": ragged_rows,
@@ -275,6 +302,8 @@ def _unit() -> str:
 
 
 ORACLE_SQL = {
+    "parse_lines": "SELECT CAST(o_orderkey AS BIGINT) AS a, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS b, CAST(o_orderdate AS DATE) AS c FROM orders",
+    "file_report": "SELECT count(*) AS n_lines, least(10, count_if(o_orderkey % 100 <> 7 AND o_orderkey % 50 = 3)) AS n_shown, count(*) AS n_rows, count_if(o_orderkey % 100 <> 7 AND o_orderkey % 50 = 3) AS n_ragged, count_if(o_orderkey % 100 = 7) AS n_like_header FROM orders",
     "null_tokens": _over("orders", "o_orderkey", _NULLS, f"{_NULL} AS is_null, CASE WHEN NOT {_NULL} THEN v END AS text_value"),
     "parse_bool": _over("lineitem", "l_orderkey, l_linenumber", _BOOLS, f"{_BOOL} AS flag"),
     "parse_int": _over("orders", "o_orderkey", _INTS, f"CASE WHEN {_INT} THEN TRY_CAST(t AS BIGINT) END AS as_int64, {_U} AS as_uint64"),
@@ -282,7 +311,7 @@ ORACLE_SQL = {
     "parse_date": _over("lineitem", "l_orderkey, l_linenumber", _DATES, f"{_DATE} AS as_date"),
     "parse_timestamp": _over("orders", "o_orderkey", _STAMPS, f"coalesce({_STAMP}, {_EPOCH}) AS ts_ms"),
     "timestamp_unit": _over("events", "event_id", _UNITS, f"{_unit()} AS unit"),
-    "unit_scaling": f"SELECT o_orderkey, CAST(trunc({_MILLIS} / 1000) * 1000 AS BIGINT) AS s_ms, CAST({_MILLIS} AS BIGINT) AS ms_ms FROM orders",
+    "unit_scaling": f"SELECT o_orderkey, CAST(trunc({_MILLIS} / 1000) * 1000 AS BIGINT) AS s_ms, CAST({_MILLIS} AS BIGINT) AS ms_ms, CAST({_MILLIS} AS BIGINT) AS us_ms, CAST({_MILLIS} AS BIGINT) AS ns_ms FROM orders",
     "delimiter_detect": "SELECT n_nationkey, (SELECT d FROM (VALUES (1, ','), (2, ';'), (3, chr(9)), (4, '|'), (5, ':'), (6, ' ')) c(i, d) ORDER BY length(v) - length(replace(v, d, '')) DESC, i DESC LIMIT 1) AS delimiter FROM (SELECT *, " + _LINES + " AS v FROM nation)",
     "column_profile": _PROFILES,
     "infer_types": f"SELECT table_name, column_name, {_KIND} AS kind FROM ({_PROFILES})",

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where the session names none (tests), under a local one set once."""
+    """A fresh path under spark.checkpoint.dir; where a local session names none (tests), under a local one set once."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -113,7 +113,7 @@ def test_paths(tmp_path):
 
 
 def test_shape_and_line_count(spark, tmp_path):
-    assert shape(spark, put(tmp_path, 'a\n"x\ny"\n')) == (True, 0, 3)
+    assert shape(spark, put(tmp_path, 'a\n"x\ny"\n')) == (True, 0, 3, False)
     assert line_count(spark, put(tmp_path, "a\n1\n2\n")) == 2
 
 
@@ -148,3 +148,29 @@ def test_stream(spark, tmp_path):
         (folder / f"{k}.csv").write_text(f"a,b\n{k},x{k}\n")
         ingest_stream(spark, str(folder), str(tmp_path / "o"), str(tmp_path / "ck"), specs, ",", header="a,b").awaitTermination(60)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, "x0"), (1, "x1")]
+
+
+def test_headers_in_a_folder(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\nx,1\na,b\n")
+    (folder / "2.csv").write_text("a,b\ny,2\nz,3\n")
+    report = convert(spark, str(folder), out := str(tmp_path / "many.parquet"))
+    assert report.rows == 4 and sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "x", "y", "z"]
+
+
+def test_an_unclosed_quote_is_reported(spark, tmp_path):
+    rows, report = got(spark, tmp_path, 'a,b\n"open,1\nx,2\n')
+    assert report.unclosed_quote and len(rows) == 1
+    assert not got(spark, tmp_path, "a,b\nx,1\n")[1].unclosed_quote
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from sluice.shared import scratch_path
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, other=None: {"spark.master": "spark://host:7077"}.get(key, other))
+
+    with pytest.raises(ValueError, match="share"):
+        scratch_path(Session, "x")
