@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language and source.
 
-DataFrame functions only. Each document is reduced to counts; four of their ratios (in thousandths) go
-into quantile sketches, which are histograms with 16 buckets for each power of two: exact below 32, within
-1/16 above, of bounded size, and mergeable by adding counts (so partial aggregation is the merge, and the
-sketch of a language or of everything is the sum of its parts). A group's fences are Tukey's,
-Q3 + reach * IQR and Q1 - reach * IQR, with a least width for groups in which a ratio hardly varies.
+DataFrame functions only. Each document is reduced to counts; four of their ratios (in thousandths), and their
+denominators, go into quantile sketches, which are histograms with 128 buckets for each power of two: exact below
+256, within 1/128 above, of bounded size, and mergeable by adding counts (so partial aggregation is the merge, and
+the sketch of a language or of everything is the sum of its parts). A group's fences are Tukey's,
+Q3 + reach * IQR and Q1 - reach * IQR. Where a ratio hardly varies in a group (most documents have no symbol at all) its
+quartiles say nothing; there the width is that of some occurrences in the group's median document, by the sketch of the
+denominator: ALLOWED / median. So every fence comes from the group's sketches.
 Groups of fewer than ``least`` documents use their language's sketch, languages as small the sketch of all.
 
 Edge cases: null and empty texts have zero counts and are base_failed, and stay out of the sketches; null
@@ -21,13 +23,15 @@ from sluice.llm._common import SPACE_CLASS, Scratch, read_table
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
-#: Ratio, in thousandths: numerator, denominator, least width of its fence, and whether it has a lower one.
+#: Ratio, in thousandths: numerator, denominator, occurrences that a median document may have beyond the quartiles, and whether
+#: there is a lower fence.
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 2500, True),
-    "symbol_ratio": ("n_symbols", "n_words", 150, False),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 500, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 200, False),
+    "word_length": ("word_chars", "n_words", 150, True),
+    "symbol_ratio": ("n_symbols", "n_words", 20, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 3, False),
+    "repeat_ratio": ("n_repeat_words", "n_words", 60, False),
 }
+SIZES = ("n_words", "n_lines")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -51,15 +55,15 @@ def text_counts(docs: DataFrame, text: str = "text", keep: list[str] = ()) -> Da
 
 
 def bucket(v):
-    """Sketch bucket of a whole number: itself below 32, else 16 buckets for each power of two."""
-    shift = F.length(F.bin(v)) - 5
-    return F.when(v < 32, v).otherwise(shift * 16 + F.call_function("shiftright", v, shift)).cast("long")
+    """Sketch bucket of a whole number: itself below 256, else 128 buckets for each power of two."""
+    shift = F.length(F.bin(v)) - 8
+    return F.when(v < 256, v).otherwise(shift * 128 + F.call_function("shiftright", v, shift)).cast("long")
 
 
 def bucket_floor(b):
     """The least number of a bucket."""
-    shift = F.when(b < 32, F.lit(0)).otherwise(F.floor(b / 16) - 1).cast("int")
-    return F.when(b < 32, b).otherwise(F.call_function("shiftleft", b - shift * 16, shift)).cast("long")
+    shift = F.when(b < 256, F.lit(0)).otherwise(F.floor(b / 128) - 1).cast("int")
+    return F.when(b < 256, b).otherwise(F.call_function("shiftleft", b - shift * 128, shift)).cast("long")
 
 
 def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
@@ -68,27 +72,26 @@ def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
     w = Window.partitionBy(*group, "ratio")
     cum = merged.select(*group, "ratio", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
     at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-    q = cum.groupBy(*group, "ratio").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
-    return q.select(*group, "ratio", "n", bucket_floor(F.col("q1")).alias("q1"), bucket_floor(F.col("q3")).alias("q3"))
+    q = cum.groupBy(*group, "ratio").agg(F.max("total").alias("n"), *[at(k).alias(f"q{k}") for k in (1, 2, 3)])
+    return q.select(*group, "ratio", "n", *[bucket_floor(F.col(f"q{k}")).alias(f"q{k}") for k in (1, 2, 3)])
 
 
 def fences(ratios: DataFrame, group: tuple[str, str], *, reach: int, least: int) -> DataFrame:
     """One row per group: lo and hi of each ratio, from the smallest grouping with enough documents."""
     lang, source = group
-    counted = ratios.select(lang, source, F.explode(F.create_map(*[x for r in RATIOS for x in (F.lit(r), F.col(r))])).alias("ratio", "v"))
+    counted = ratios.select(lang, source, F.explode(F.create_map(*[x for r in (*RATIOS, *SIZES) for x in (F.lit(r), F.col(r))])).alias("ratio", "v"))
     sketch = counted.groupBy(lang, source, "ratio", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
     own, by_lang, whole = quantiles(sketch, [lang, source]).alias("a"), quantiles(sketch, [lang]).alias("b"), quantiles(sketch, []).alias("c")
-    j = own.join(by_lang, F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.ratio") == F.col("b.ratio"))).join(F.broadcast(whole), F.col("a.ratio") == F.col("c.ratio"))  # whole: a row for each of four ratios
+    j = own.join(by_lang, F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.ratio") == F.col("b.ratio"))).join(F.broadcast(whole), F.col("a.ratio") == F.col("c.ratio"))  # whole: a row for each of four ratios and two sizes
     pick = lambda c: F.when(F.col("a.n") >= least, F.col(f"a.{c}")).when(F.col("b.n") >= least, F.col(f"b.{c}")).otherwise(F.col(f"c.{c}"))
-    q = j.select(F.col(f"a.{lang}").alias("g_lang"), F.col(f"a.{source}").alias("g_source"), F.col("a.ratio").alias("ratio"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    width = F.create_map(*[x for r, v in RATIOS.items() for x in (F.lit(r), F.lit(v[2]))])[F.col("ratio")]
-    span = F.greatest((F.col("q3") - F.col("q1")) * reach, width)
-    q = q.select("g_lang", "g_source", "ratio", (F.col("q1") - span).alias("lo"), (F.col("q3") + span).alias("hi"))
+    q = j.select(F.col(f"a.{lang}").alias("g_lang"), F.col(f"a.{source}").alias("g_source"), F.col("a.ratio").alias("ratio"), *[pick(f"q{k}").alias(f"q{k}") for k in (1, 2, 3)])
     at = lambda r, c: F.max(F.when(F.col("ratio") == r, F.col(c)))
-    return q.groupBy("g_lang", "g_source").agg(*[at(r, c).alias(f"{c}_{r}") for r in RATIOS for c in ("lo", "hi")])
+    q = q.groupBy("g_lang", "g_source").agg(*[at(r, f"q{k}").alias(f"{r}_{k}") for r in RATIOS for k in (1, 3)], *[at(r, "q2").alias(f"{r}_2") for r in SIZES])
+    span = lambda r, den, some: F.greatest((F.col(f"{r}_3") - F.col(f"{r}_1")) * reach, F.expr(f"{some * 1000} div greatest({den}_2, 1)"))
+    return q.select("g_lang", "g_source", *[x for r, (_, den, some, _) in RATIOS.items() for x in ((F.col(f"{r}_1") - span(r, den, some)).alias(f"lo_{r}"), (F.col(f"{r}_3") + span(r, den, some)).alias(f"hi_{r}"))])
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = 4, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = 6, least: int = 50) -> DataFrame:
     """One row per document: counts, base_failed, kept and the first ratio that broke its group's fences."""
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
@@ -109,13 +112,15 @@ def _sketch_sql(group: str) -> str:
     by = f"{group}, " if group else ""
     on = f"PARTITION BY {by}ratio"
     return f"""(SELECT {by}ratio, max(total) AS n,
-        min(CASE WHEN upto * 4 >= total * 1 THEN bucket END) AS b1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS b3
+        {', '.join(f"min(CASE WHEN upto * 4 >= total * {k} THEN bucket END) AS b{k}" for k in (1, 2, 3))}
         FROM (SELECT {by}ratio, bucket, sum(n) OVER ({on} ORDER BY bucket) AS upto, sum(n) OVER ({on}) AS total
               FROM (SELECT {by}ratio, bucket, sum(n) AS n FROM sketch GROUP BY {by}ratio, bucket)) GROUP BY {by}ratio)"""
 
 
-_FLOOR = "CASE WHEN {b} < 32 THEN {b} ELSE ({b} - (({b} // 16) - 1) * 16) << (({b} // 16) - 1)::INT END"
-_WIDTH = "CASE q.ratio " + " ".join(f"WHEN '{r}' THEN {v[2]}" for r, v in RATIOS.items()) + " END"
+_FLOOR = "CASE WHEN {b} < 256 THEN {b} ELSE ({b} - (({b} // 128) - 1) * 128) << (({b} // 128) - 1)::INT END"
+_PICK = ", ".join(f"CASE WHEN a.n >= 50 THEN a.b{k} WHEN b.n >= 50 THEN b.b{k} ELSE c.b{k} END AS b{k}" for k in (1, 2, 3))
+_SOME = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {v[2]}" for r, v in RATIOS.items()) + " END"
+_DEN = "CASE ratio " + " ".join(f"WHEN '{r}' THEN '{v[1]}'" for r, v in RATIOS.items()) + " END"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -126,13 +131,13 @@ c AS (SELECT d.doc_id, d.lang, d.source, len(w)::BIGINT AS n_words, length(array
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 m AS (SELECT *, {', '.join(f"CASE WHEN {b} > 0 THEN ({a} * 1000) // {b} ELSE 0 END AS {r}" for r, (a, b, _, _) in RATIOS.items())} FROM c),
-x AS ({' UNION ALL '.join(f"SELECT lang, source, '{r}' AS ratio, {r} AS v FROM m WHERE n_words > 0" for r in RATIOS)}),
-sketch AS (SELECT lang, source, ratio, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)::INT) END AS bucket, count(*) AS n FROM x GROUP BY ALL),
-q AS (SELECT a.lang, a.source, a.ratio,
-        CASE WHEN a.n >= 50 THEN a.b1 WHEN b.n >= 50 THEN b.b1 ELSE c.b1 END AS b1, CASE WHEN a.n >= 50 THEN a.b3 WHEN b.n >= 50 THEN b.b3 ELSE c.b3 END AS b3
+x AS ({' UNION ALL '.join(f"SELECT lang, source, '{r}' AS ratio, {r} AS v FROM m WHERE n_words > 0" for r in (*RATIOS, *SIZES))}),
+sketch AS (SELECT lang, source, ratio, CASE WHEN v < 256 THEN v ELSE (length(bin(v)) - 8) * 128 + (v >> (length(bin(v)) - 8)::INT) END AS bucket, count(*) AS n FROM x GROUP BY ALL),
+q AS (SELECT a.lang, a.source, a.ratio, {_PICK}
       FROM {_sketch_sql('lang, source')} a JOIN {_sketch_sql('lang')} b ON a.lang IS NOT DISTINCT FROM b.lang AND a.ratio = b.ratio JOIN {_sketch_sql('')} c ON a.ratio = c.ratio),
-f AS (SELECT lang, source, ratio, q1 - greatest((q3 - q1) * 4, width) AS lo, q3 + greatest((q3 - q1) * 4, width) AS hi
-      FROM (SELECT lang, source, ratio, {_FLOOR.format(b='b1')} AS q1, {_FLOOR.format(b='b3')} AS q3, {_WIDTH} AS width FROM q)),
+v AS (SELECT lang, source, ratio, {', '.join(f"{_FLOOR.format(b=f'b{k}')} AS q{k}" for k in (1, 2, 3))}, {_SOME} AS some, {_DEN} AS den FROM q),
+f AS (SELECT lang, source, ratio, q1 - span AS lo, q3 + span AS hi
+      FROM (SELECT v.*, greatest((v.q3 - v.q1) * 6, v.some * 1000 // greatest(d.q2, 1)) AS span FROM v JOIN v d ON v.lang IS NOT DISTINCT FROM d.lang AND v.source IS NOT DISTINCT FROM d.source AND d.ratio = v.den)),
 bad AS (SELECT DISTINCT m.doc_id FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
         WHERE {' OR '.join(f"(f.ratio = '{r}' AND (m.{r} > f.hi" + (f" OR m.{r} < f.lo" if low else "") + "))" for r, (_, _, _, low) in RATIOS.items())})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
