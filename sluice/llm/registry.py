@@ -18,4 +18,10 @@ QUERIES = {
 }
 
 #: SQL for DuckDB over the same tables; the others are tested against brute force, exact round trips or held-out labels.
-ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {
+    "op1_embedding_near_dedup": vector_join.ORACLE,
+    "op4_mix_sources": mixing.ORACLE,
+    "op7_minhash_near_dedup": minhash.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
