@@ -20,7 +20,16 @@ from sluice.shared import scratch_path
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python of 8 MB and 2000 rows at most, where the session has Spark's own bounds: whole texts are long rows."""
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "8388608")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key).rstrip("b") == usual:
+            spark.conf.set(key, ours)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +50,7 @@ class Scratch:
     """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bounded_batches(spark)
         self.spark, self.root, self.n = spark, scratch_path(spark, tag), 0
 
     def write(self, df: DataFrame) -> DataFrame:

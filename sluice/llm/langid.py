@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import crc_mod, read_table, slices
+from sluice.llm._common import bounded_batches, crc_mod, read_table, slices
 
 BITS = 16
 ORDERS = 3
@@ -239,6 +239,7 @@ def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alp
 
 def prediction(spark: SparkSession, model: LangModel, text):
     """A struct column (lang_pred, score) of the text column."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # buckets x languages floats, whatever the corpus
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

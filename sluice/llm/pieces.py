@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import read_table, slices
+from sluice.llm._common import bounded_batches, read_table, slices
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -556,6 +556,7 @@ def encoded(spark: SparkSession, docs: DataFrame, model_file: str = MODEL_FILE)
 
     A text that holds the mark itself or code points that UTF-8 lacks comes back with spaces or signs instead.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(PieceModel.load(model_file))
 
     def run(batches):
