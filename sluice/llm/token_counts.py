@@ -37,7 +37,8 @@ RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "end", "most", "share")
 #: White space in such runs, or longer, goes round the pattern's engine, which gives up on very long ones.
-LONG_SPACE = re.compile(r"\s{65536,}")
+LONG = 65536
+LONG_SPACE = re.compile(rf"\s{{{LONG},}}")
 
 
 class Encoder:
@@ -65,7 +66,7 @@ class Encoder:
         """Token ids of a whole text. The pattern takes a run of white space but for its last character, or all of it at the
         text's end, as one; no other match holds more than one white-space character, its first. So a long run can be cut out."""
         enc, out, at = self.get()[0], [], 0
-        if len(text) >= 65536:
+        if len(text) >= LONG:
             for m in LONG_SPACE.finditer(text):
                 end = m.end() if m.end() == len(text) else m.end() - 1
                 out += enc.encode_ordinary(text[at : m.start()])

@@ -153,3 +153,83 @@ def test_language_document_frequencies_come_from_all_rows(spark):
     picked = {int(r.id) for r in langid.sample(df, 5, "doc_id", "text", "lang").collect()}
     other = df.withColumn("text", F.when(F.col("doc_id").isin(picked), F.col("text")).otherwise(F.lit("the maison")))
     assert not np.array_equal(langid.fit(df, sample_per_lang=5).weights, langid.fit(other, sample_per_lang=5).weights)
+
+
+def test_language_scores_against_plain_sums(spark, odd):
+    """Features and scores by plain loops over every 1- to 3-gram."""
+    model = langid.fit(odd.filter("lang is not null and text is not null"))
+    mask = (1 << 64) - 1
+    mul = [int(x) for x in langid._MUL]
+
+    def plain(text):
+        t = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+        total, n = np.zeros(len(model.langs)), 0
+        padded = t + " "
+        for i in range(len(t) - 1):
+            h = 0
+            for k in range(3):
+                h = ((h ^ ord(padded[i + k])) * mul[k]) & mask
+                h ^= h >> 29
+                total += model.weights[((h * mul[0]) & mask) >> (64 - langid.BITS)]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    for text in ["the a mot", "Mot, mot!  b c", "x", "été là"]:
+        p = plain(text)
+        langs, probs = model.scores([text])
+        assert langs == [model.langs[p.argmax()]] and probs[0] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_quality_scores_against_plain_means():
+    """A word's value is the mean over its features, a document's the mean over its words, by plain loops."""
+    rng = np.random.default_rng(3)
+    model = quality_model.QualityModel(rng.normal(size=1 << quality_model.BITS).astype(np.float32), 0.25)
+    mask, p, q = (1 << 64) - 1, int(quality_model._P), int(quality_model._Q)
+
+    def buckets(word):
+        chars = [ord(c) for c in word]
+        whole = 0
+        for c in chars:
+            whole = ((whole ^ c) * p) & mask
+            whole ^= whole >> 31
+        out = [(((whole + 7) * q) & mask) >> (64 - quality_model.BITS)]
+        for i in range(len(chars)):
+            h = 0
+            for k in range(min(quality_model.ORDERS, len(chars) - i)):
+                h = ((h ^ chars[i + k]) * p) & mask
+                h ^= h >> 29
+                out.append((((h + k) * q) & mask) >> (64 - quality_model.BITS))
+        return out
+
+    for text in ["one two two", "été", "a b a b", "longer words are here here here"]:
+        words = [w.decode() for w in quality_model.words_of(text)]
+        z = np.mean([np.mean([model.value[b] for b in buckets(w)]) for w in words]) + model.bias
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_labelled_sample_takes_ids_from_the_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(3, "again"), (None, "x")], "doc_id long, text string").withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (7, None), (8, 5)], "doc_id long, quality int")
+    rows = quality_model.labelled_sample(docs, labels, sample_per_label=10).collect()
+    assert all(r.quality == r.doc_id % 2 for r in rows) and len({r.doc_id for r in rows}) <= 20
+    every = quality_model.labelled_sample(docs, labels).collect()
+    assert len(every) == 51 and {r.doc_id for r in rows} <= {r.doc_id for r in every}
+
+
+def test_dirty_languages_are_bounded(spark):
+    df = spark.createDataFrame([(i, "the house", "en" if i % 3 else f"dirt{i}") for i in range(30)], "doc_id long, text string, lang string")
+    assert langid.fit(df, max_langs=1).langs == ["en"] and len(langid.fit(df).langs) == 11
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty texts, repeated rows and an empty table go through every stage; columns stay."""
+    for k, docs in enumerate((odd, odd.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "sentencepiece":
+                assert out.columns == odd.columns
+            out.write.parquet(path := f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(path)
+        assert docs.count() == 0 if k else docs.filter("NOT round_trip").count() == 0

@@ -203,6 +203,11 @@ def test_line_dedup_query_takes_short_last_lines(spark, tmp_path):
     ("bob at example dot com dot Thanks", "email", "bob at example dot com"),
     ("from 192 dot 168 dot 1 dot 1 on", "ip", "192 dot 168 dot 1 dot 1"),
     ("192.168 dot 1 (dot) 1", "ip", "192.168 dot 1 (dot) 1"),
+    ("mail joe at example.com now", "email", "joe at example.com"),
+    ("joe @ example . com, please", "email", "joe @ example . com"),
+    ("(joe_at_example_dot_com)", "email", "joe_at_example_dot_com"),
+    ("bob.lee at mail.example.co.uk!", "email", "bob.lee at mail.example.co.uk"),
+    ("call +1 (five five five) one two three four five six seven", "phone", "+1 (five five five) one two three four five six seven"),
 ])
 def test_mixed_disguises(text, kind, found):
     every = pii.find(text)[1]
@@ -210,7 +215,7 @@ def test_mixed_disguises(text, kind, found):
 
 
 def test_mixed_disguises_leave_prose():
-    for t in ["look at example.com dot", "he sat at noon dot the end", "999 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "bob at the dot [dot] ", "[dot] at a.b"]:
+    for t in ["look at example.com dot", "he sat at noon dot the end", "999 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "bob at the dot [dot] ", "[dot] at a.b", "look at example.com", "see us at example.com now", "he sat at noon.The end", "dinner @ home . the"]:
         assert not any(pii.find(t)[1].values()), t
     for t in ["a dot " * 40_000, "a at b dot " * 20_000, "[dot]" + "1 dot " * 40_000, "[dot]" + "a@a." * 50_000]:
         pii.find(t)
@@ -264,3 +269,64 @@ def test_maximal_runs_are_found(spark):
     rows = [(1, "\n".join(words)), (2, "\n".join(["x", *words[2:7], "y"])), (3, "\n".join([*words[4:9], "z"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.at, r.m) for r in line_dedup.repeated_runs(df).collect()} == {(2, 1, 5), (3, 0, 5)}
+
+
+def test_planted_disguises_are_found():
+    """Of each kind and disguise, spans that cover what was planted, in prose."""
+    rng = random.Random(9)
+    words = "the of and house river over quiet morning near walk stone".split()
+    digit = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True))
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in t)
+    email = [lambda a: a, lambda a: a.replace("@", " [at] ").replace(".", " [dot] "), lambda a: a.replace("@", " at ").replace(".", " dot "), lambda a: a.replace("@", " at "), lambda a: a.replace("@", " @ ").replace(".", " . "), lambda a: a.replace("@", "_at_").replace(".", "_dot_"), lambda a: a.replace("a", "а").replace("o", "о"), lambda a: a[0] + "\u200b" + a[1:], lambda a: a.replace("@", "(at)"), lambda a: a.replace(".", " dot ")]
+    ip = [lambda a: a, lambda a: a.replace(".", " dot "), lambda a: a.replace(".", "[.]"), wide]
+    spell = lambda t: " ".join(digit.get(c, c) for c in t if c != " ")
+    ways = {"email": email, "ip": ip, "card": [lambda a: a, spell, wide], "phone": [lambda a: a, wide, lambda a: "+" + spell(a[1:])]}
+    for kind, forms in ways.items():
+        for k, form in enumerate(forms):
+            hits = 0
+            for _ in range(40):
+                plant = {"email": f"{rng.choice(['anna', 'bob', 'carol'])}{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", "ip": ".".join(str(rng.randint(1, 255)) for _ in range(4)), "card": "4111 1111 1111 1111", "phone": f"+1{rng.randint(200, 999)}{rng.randint(1000000, 9999999)}"}[kind]
+                head = " ".join(rng.choice(words) for _ in range(12))
+                text = f"{head}: {form(plant)}; {head}."
+                a, b = len(head) + 2, len(head) + 2 + len(form(plant))
+                hits += any(x <= a and b <= y for x, y in pii.find(text)[1][kind])
+            assert hits >= 36, (kind, k, hits)
+
+
+def test_token_counts_of_very_long_runs(monkeypatch):
+    with open(token_counts.RANK_FILE, "rb") as f:
+        e = token_counts.Encoder(f.read())
+    for c in " \n\ta1.":
+        text = "x" + c * 2_000_000 + "y"
+        starts, ends = token_counts.token_spans(e, text)
+        assert starts[0] == 0 and ends[-1] == len(text) and (starts[1:] == ends[:-1]).all()
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    monkeypatch.setattr(token_counts, "LONG_SPACE", re.compile(r"\s{3,}"))
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", " ", "  ", "\n", " \t", "1", ".", "'s", "é", "     "]) for _ in range(rng.randint(0, 14)))
+        assert e.ids(text) == e.get()[0].encode_ordinary(text)
+
+
+def test_long_cuts_and_a_full_cache_change_nothing(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    m = pieces.PieceModel.load(pieces.MODEL_FILE)
+    rng = random.Random(5)
+    for _ in range(30):
+        text = pieces.MARK + "".join(rng.choice(["a", "b", "the", "ing", "er", "s", "中", "tion"]) for _ in range(200))
+        assert m.segment_long(text, window=rng.choice([17, 64, 1000])).tolist() == sp.encode(text[1:])
+    monkeypatch.setattr(pieces, "CACHED", 300)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["house", "river", "don't", "x1", "é", "end."]) + str(rng.randint(0, 60)) for _ in range(30)) for _ in range(5)]
+        assert [x.tolist() for x in m.encode(texts)] == [sp.encode(t) for t in texts]
+
+
+def test_pieces_of_an_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, None)], "doc_id long, text string")
+    rows = pieces.encoded(spark, df).collect()
+    assert len(rows) == 3 and [r.ids for r in rows if r.doc_id == 1][0] == [r.ids for r in rows if r.doc_id == 1][1]
+    assert pieces.encoded(spark, df.limit(0)).count() == 0
+    none = df.limit(0)
+    assert none.select(token_counts.section_tokens(spark, F.col("text"))).count() == 0 and none.select(pii.spans(F.col("text"))).count() == 0
