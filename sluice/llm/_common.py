@@ -6,8 +6,10 @@ and reading it back, so a lost executor costs a re-read and never a recomputatio
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,41 @@ def slices(col: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
         yield at, len(lengths) - at
 
 
+def give_back() -> None:
+    """Free memory that Arrow and malloc hold goes back to the system: Python workers share an executor's memory with the JVM, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def frugal(f: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """The function of an arrow_udf, after each batch of which free memory goes back."""
+
+    @functools.wraps(f)
+    def run(*cols: pa.Array) -> pa.Array:
+        try:
+            return f(*cols)
+        finally:
+            give_back()
+
+    return run
+
+
+def frugal_batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow, after each batch of which free memory goes back."""
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                give_back()
+
+        yield from f(each())
+        give_back()
+
+    return run
+
+
 class Scratch:
     """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with."""
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import Scratch
+from sluice.llm._common import Scratch, frugal_batches
 
 
 def _forest(batches, most: int = 200_000):
@@ -52,7 +52,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for each node that an edge (two bigint columns) joins to another; component is the smallest node."""
     a, b = edges.columns
     scratch = Scratch(spark, "components")
-    e = scratch.write(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_forest, "u bigint, v bigint").distinct())
+    e = scratch.write(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(frugal_batches(_forest), "u bigint, v bigint").distinct())
     before = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import bounded_batches, crc_mod, read_table, slices
+from sluice.llm._common import bounded_batches, crc_mod, frugal, frugal_batches, read_table, slices
 
 BITS = 16
 ORDERS = 3
@@ -165,7 +165,7 @@ def document_frequencies(labelled: DataFrame, text_col: str = "text") -> tuple[i
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], ["bucket", "k"])
 
-    got = labelled.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, k bigint").groupBy("bucket").agg(F.sum("k").alias("k")).toArrow()
+    got = labelled.select(F.col(text_col).alias("text")).mapInArrow(frugal_batches(count), "bucket int, k bigint").groupBy("bucket").agg(F.sum("k").alias("k")).toArrow()
     total = np.zeros((1 << BITS) + 1, np.int64)  # the last one, at -1, is the number of rows
     total[got["bucket"].to_numpy()] = got["k"].to_numpy()
     return int(total[-1]), total[:-1]
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, *, sample_per_lang: int = 500, epochs: int = 3, alp
                 cnt.append(None if c is None else c[1].astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("u"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["id", "lang", "u", "idx", "cnt"])
 
-    rows = picked.mapInArrow(count, "id string, lang string, u double, idx array<int>, cnt array<int>").toArrow()
+    rows = picked.mapInArrow(frugal_batches(count), "id string, lang string, u double, idx array<int>, cnt array<int>").toArrow()
     rows = rows.filter(pa.compute.is_valid(rows["idx"])).sort_by([("u", "ascending"), ("id", "ascending")])
     all_langs, seen, data = rows["lang"].to_pylist(), {}, []
     for i, lang in enumerate(all_langs):
@@ -243,6 +243,7 @@ def prediction(spark: SparkSession, model: LangModel, text):
     shared = spark.sparkContext.broadcast(model)  # buckets x languages floats, whatever the corpus
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @frugal
     def predict(col: pa.Array) -> pa.Array:
         langs, probs = [], []
         for i, n in slices(col, 256, 1 << 20):

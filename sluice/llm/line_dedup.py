@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._common import Scratch, read_table, slices
+from sluice.llm._common import Scratch, frugal, read_table, slices
 
 MIN_WORDS = 50
 
@@ -57,7 +57,7 @@ def _lines(min_words: int):
         lists = [pa.array([g[k] for g in got], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
         return pa.StructArray.from_arrays(lists, ["ids", "words", "need"])
 
-    return F.arrow_udf(run, "struct<ids:array<bigint>,words:array<int>,need:array<int>>")
+    return F.arrow_udf(frugal(run), "struct<ids:array<bigint>,words:array<int>,need:array<int>>")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
             parts.append(pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["text", "went"]))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("went", pa.list_(pa.int32()))]))
 
-    strip = F.arrow_udf(run, "struct<text:string,went:array<int>>")
+    strip = F.arrow_udf(frugal(run), "struct<text:string,went:array<int>>")
     hit = F.col("__w").isNotNull()
     j = rows.join(per_doc, (F.col("__doc") == F.col("__id")) & (F.xxhash64("__text") == F.col("__h")), "left")
     # no text without a run goes to Python

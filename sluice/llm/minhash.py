@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import Scratch, read_table
+from sluice.llm._common import Scratch, frugal, frugal_batches, read_table
 from sluice.llm.components import components
 
 WORDS = 5
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch(spark, "minhash")
-    base = scratch.write(docs.select("doc_id", F.arrow_udf(_sketch, "struct<n:bigint,same:binary,bands:array<bigint>,bits:array<bigint>>")("text").alias("s")).select("doc_id", "s.n", "s.same", "s.bands", "s.bits"))
+    base = scratch.write(docs.select("doc_id", F.arrow_udf(frugal(_sketch), "struct<n:bigint,same:binary,bands:array<bigint>,bits:array<bigint>>")("text").alias("s")).select("doc_id", "s.n", "s.same", "s.bands", "s.bits"))
     # written first, here and below, so that the join has a shuffle of its own, of which Spark can split the large partitions
     groups = scratch.write(base.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first")))
     alike = scratch.write(base.select("doc_id", "n", "same").join(groups, "same", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")))
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = scratch.write(rows.join(small, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "doc_id", "n", "centre", "cn"))
     scratch.drop(groups, small)
     ids = met.select("doc_id").distinct().hint("merge")  # grows with the documents: not for broadcast at any size
-    sets = scratch.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets, "doc_id bigint, s array<bigint>"))
+    sets = scratch.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(frugal_batches(_shingle_sets), "doc_id bigint, s array<bigint>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those with sets alike enough."""
@@ -231,7 +231,7 @@ def _compare(members: DataFrame, doubtful: DataFrame, sets: DataFrame, percent:
         if held:
             yield from _tile(held, percent)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(frugal_batches(run), "a bigint, b bigint")
 
 
 def _tile(held: list[tuple], percent: int):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import bounded_batches, read_table, slices
+from sluice.llm._common import bounded_batches, frugal, frugal_batches, read_table, slices
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -528,6 +528,7 @@ def encode(spark: SparkSession, model: PieceModel, text):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<int>")
+    @frugal
     def run(col: pa.Array) -> pa.Array:
         parts = [_lists(t, *shared.value.encode_flat(t)) for t in (col.slice(i, n).to_pylist() for i, n in slices(col, ROWS, BYTES))]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -540,6 +541,7 @@ def decode(spark: SparkSession, model: PieceModel, ids):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
+    @frugal
     def run(col: pa.Array) -> pa.Array:
         return pa.array([shared.value.decode(v.values.to_numpy(zero_copy_only=False) if v.is_valid else None) for v in col], pa.string())
 
@@ -572,7 +574,7 @@ def encoded(spark: SparkSession, docs: DataFrame, model_file: str = MODEL_FILE)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(texts, ids, at), n, same], ["doc_id", "ids", "n_ids", "round_trip"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal_batches(run), f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import read_table
+from sluice.llm._common import frugal, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -272,6 +272,7 @@ def spans(text):
     """A struct column of a text column: base and all spans, as lists of (kind, start, end) joined in text form, and counts."""
 
     @F.arrow_udf("struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base:string,spans:string>")
+    @frugal
     def run(col: pa.Array) -> pa.Array:
         counts, base, every = [[] for _ in KINDS], [], []
         for v in col:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import crc_mod, read_table, slices
+from sluice.llm._common import crc_mod, frugal, frugal_batches, read_table, slices
 
 BITS = 16
 ORDERS = 4
@@ -157,7 +157,7 @@ def fit(labelled: DataFrame, *, sample_per_label: int = 1500, dim: int = 8, epoc
             got = [doc_vector(v.as_py()) for v in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("u"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["id", "y", "u", "idx", "x"])
 
-    rows = picked.mapInArrow(count, "id string, y int, u double, idx array<int>, x array<float>").toArrow().sort_by([("u", "ascending"), ("id", "ascending")])
+    rows = picked.mapInArrow(frugal_batches(count), "id string, y int, u double, idx array<int>, x array<float>").toArrow().sort_by([("u", "ascending"), ("id", "ascending")])
     data, seen = [], [0, 0]
     for i, y in enumerate(rows["y"].to_pylist()):
         seen[y] += 1
@@ -191,6 +191,7 @@ def score(spark: SparkSession, model: QualityModel, text):
     shared = spark.sparkContext.broadcast(model)  # one number a bucket, whatever the corpus
 
     @F.arrow_udf("double")
+    @frugal
     def scored(col: pa.Array) -> pa.Array:
         parts = [shared.value.scores(col.slice(i, n).to_pylist()) for i, n in slices(col, 512, 1 << 21)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import read_table
+from sluice.llm._common import frugal, read_table
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how such vocabularies split a text before merging.
@@ -129,6 +129,7 @@ def section_tokens(spark: SparkSession, text, *, rank_file: str = RANK_FILE, rul
         shared = spark.sparkContext.broadcast(Encoder(f.read()))  # the vocabulary file, whatever the corpus
 
     @F.arrow_udf("array<struct<start:bigint,end:bigint,tokens:double>>")
+    @frugal
     def run(col: pa.Array) -> pa.Array:
         starts, ends, tokens, offsets = [], [], [], [0]
         for v in col:
