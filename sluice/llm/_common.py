@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -84,7 +86,14 @@ def frugal_batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 class Scratch:
-    """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with."""
+    """Tables written by one operator run under the shared folder; ``drop`` frees each when it is done with.
+
+    Spark deletes a shuffle's files only when the driver's garbage collector has met its plan, which many short rounds
+    may not bring about for long. So ``drop`` has the driver collect its garbage, if that was EVERY seconds ago or more.
+    """
+
+    EVERY = 10.0
+    collected = 0.0
 
     def __init__(self, spark: SparkSession, tag: str):
         bounded_batches(spark)
@@ -105,6 +114,11 @@ class Scratch:
             if path := getattr(df, "_scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        if time.monotonic() - Scratch.collected >= Scratch.EVERY:
+            gc.collect()
+            give_back()
+            jvm.System.gc()
+            Scratch.collected = time.monotonic()
 
 
 def crc_mod(id_col, n: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import bounded_batches, crc_mod, frugal, frugal_batches, read_table, slices
+from sluice.llm._common import bounded_batches, crc_mod, frugal, frugal_batches, give_back, read_table, slices
 
 BITS = 16
 ORDERS = 3
@@ -263,6 +263,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit(learnable(docs.select("doc_id", "text", "lang")))
+    give_back()  # the sample's counts are gone
     p = docs.select("doc_id", prediction(spark, model, F.col("text")).alias("p"))
     return p.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))
 
@@ -270,6 +271,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is determined with a calibrated score of min_score or more; columns as given."""
     model = fit(learnable(docs.select("doc_id", "text", "lang")))
+    give_back()  # the sample's counts are gone
     names = docs.columns
     p = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), prediction(spark, model, F.col("text")).alias("p"))
     return p.filter((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= min_score)).select("row.*")
