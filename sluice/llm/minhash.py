@@ -136,10 +136,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = scratch.write(base.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first")))
     alike = scratch.write(base.select("doc_id", "n", "same").join(groups, "same", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")))
     firsts = groups.select(F.col("first").alias("doc_id"))
-    rows = base.join(firsts, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    small = scratch.write(rows.groupBy("band", "key").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "n")).alias("c")).filter("k > 1").select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("cn")))
+    # a key has its band mixed in, so it names a bucket by itself
+    rows = base.join(firsts, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("bucket"))
+    small = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn")).filter("k > 1").select("bucket", "centre", "cn"))
     # buckets with two documents or more, each row with its bucket's centre
-    met = scratch.write(rows.join(small, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "doc_id", "n", "centre", "cn"))
+    met = scratch.write(rows.join(small, "bucket").select("bucket", "doc_id", "n", "centre", "cn"))
     scratch.drop(groups, small)
     ids = met.select("doc_id").distinct().hint("merge")  # grows with the documents: not for broadcast at any size
     sets = scratch.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(frugal_batches(_shingle_sets), "doc_id bigint, s array<bigint>"))
