@@ -22,6 +22,8 @@ from sluice.shared import scratch_path
 
 #: The six ASCII white-space characters that separate words (space, \\t, \\n, \\v, \\f, \\r).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Bits of a bitmap (8 MB), and of a row of it.
+BITMAP, BITMAP_ROW = 1 << 26, 1 << 15
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -121,6 +123,21 @@ class Scratch:
             Scratch.collected = time.monotonic()
 
 
+def bitmap(keys: DataFrame) -> DataFrame:
+    """The hashed values of a column as rows of a bitmap: 8 MB at most, however many values, so it may be sent to all executors."""
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(BITMAP))
+    return keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP_ROW).alias("__row")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_ROW).alias("__bits"))
+
+
+def by_bitmap(df: DataFrame, col: str, bits: DataFrame, *, inside: bool = True) -> DataFrame:
+    """Rows whose value may be among the bitmap's (all that are, and a few others), or, not inside, rows whose value surely isn't."""
+    at = F.pmod(F.xxhash64(col), F.lit(BITMAP))
+    place = at % BITMAP_ROW
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (place % 8).cast("int")), F.lit(0)) == 1
+    return df.join(F.broadcast(bits), F.floor(at / BITMAP_ROW) == F.col("__row"), "inner" if inside else "left").filter(there if inside else ~there).select(*df.columns)
+
+
 def crc_mod(id_col, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(n))

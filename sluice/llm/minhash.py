@@ -13,6 +13,9 @@ handing on a forest of links. Before that what can't be a link is ruled out: by
 differs in more than MOST with a chance of 1.6e-8; and by the number of a document's shingles that any
 other document near it has, which bounds every intersection. Every candidate is confirmed on full sets.
 
+Texts, sketches and bucket keys are long or many, and most meet nothing. Which may is marked in bitmaps of hashed
+values; only what a bitmap lets through is shuffled to the exact joins, which drop what it let through by chance.
+
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing; texts
 of one to four words are one shingle; equal rows are linked; ids are taken to be unique; a null id forms no
 links; other columns are ignored. Texts are processed whole.
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import Scratch, frugal, frugal_batches, read_table
+from sluice.llm._common import Scratch, bitmap, by_bitmap, frugal, frugal_batches, read_table
 from sluice.llm.components import components
 
 WORDS = 5
@@ -136,14 +139,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = scratch.write(base.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first")))
     alike = scratch.write(base.select("doc_id", "n", "same").join(groups, "same", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")))
     firsts = groups.select(F.col("first").alias("doc_id"))
+    copies = scratch.write(bitmap(alike.filter("doc_id <> first").select("doc_id")))
+    sketched = base.filter("same IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "bands")
+    # of the sketches only those are shuffled that may be copies; here and below an inner join, as Spark would put a semi join before the bitmap's
+    alone = by_bitmap(sketched, "doc_id", copies, inside=False).unionByName(by_bitmap(sketched, "doc_id", copies).join(firsts.distinct().hint("merge"), "doc_id"))
     # a key has its band mixed in, so it names a bucket by itself
-    rows = base.join(firsts, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("bucket"))
-    small = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn")).filter("k > 1").select("bucket", "centre", "cn"))
+    rows = alone.select("doc_id", "n", F.explode("bands").alias("bucket"))
+    # nearly all buckets have one document: all keys are shuffled once, without their documents, which follow for the others
+    shared_keys = scratch.write(bitmap(rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")))
+    some = scratch.write(by_bitmap(rows, "bucket", shared_keys).select("bucket", "doc_id", "n"))
+    small = scratch.write(some.groupBy("bucket").agg(F.count("*").alias("k"), F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("cn")).filter("k > 1").select("bucket", "centre", "cn"))
     # buckets with two documents or more, each row with its bucket's centre
-    met = scratch.write(rows.join(small, "bucket").select("bucket", "doc_id", "n", "centre", "cn"))
-    scratch.drop(groups, small)
+    met = scratch.write(some.join(small, "bucket").select("bucket", "doc_id", "n", "centre", "cn"))
+    scratch.drop(groups, copies, shared_keys, some, small)
     ids = met.select("doc_id").distinct().hint("merge")  # grows with the documents: not for broadcast at any size
-    sets = scratch.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(frugal_batches(_shingle_sets), "doc_id bigint, s array<bigint>"))
+    chosen = scratch.write(bitmap(met.select("doc_id")))
+    sets = scratch.write(by_bitmap(docs, "doc_id", chosen).join(ids, "doc_id").select("doc_id", "text").mapInArrow(frugal_batches(_shingle_sets), "doc_id bigint, s array<bigint>"))
+    scratch.drop(chosen)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those with sets alike enough."""

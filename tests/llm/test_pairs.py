@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import minhash, vector_join
+from sluice.llm import _common, minhash, vector_join
 from sluice.llm.components import components
 
 
@@ -133,3 +133,48 @@ def test_minhash_refuses_thresholds_its_bands_are_not_made_for(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     with pytest.raises(ValueError):
         minhash.near_duplicates(df, percent=74)
+
+
+def shuffled_bytes(spark, group, run):
+    """What run() returns, and the bytes that its jobs' stages write to shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, track = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {i for j in track.getJobIdsForGroup(group) for i in track.getJobInfo(j).stageIds}
+    return out, sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+
+
+def test_minhash_shuffles_no_text_that_meets_no_other(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(1500))) for i in range(400)]
+    rows += [(400 + i, edited(rng, rows[i][1].split(), 20)) for i in range(5)] + [(405, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, moved = shuffled_bytes(spark, "minhash-shuffles", lambda: {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()})
+    assert got == {i: i for i in range(400)} | {400 + i: i for i in range(5)} | {405: 7}
+    assert 0 < moved < sum(len(t) for _, t in rows) / 4
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_a_bitmap_loses_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(_common, "BITMAP", bits)
+    keys = spark.createDataFrame([(i * 7919 - 10**6,) for i in range(0, 3000, 3)], "k long")
+    df = spark.createDataFrame([(i * 7919 - 10**6, i) for i in range(3000)], "k long, i int")
+    one = _common.bitmap(keys)
+    may = {r.i for r in _common.by_bitmap(df, "k", one).collect()}
+    surely_not = {r.i for r in _common.by_bitmap(df, "k", one, inside=False).collect()}
+    assert may >= set(range(0, 3000, 3)) and may | surely_not == set(range(3000)) and not may & surely_not
+    assert len(may) < 1010 or bits == 8
+
+
+def test_minhash_with_full_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(_common, "BITMAP", 8)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(40))) for i in range(30)]
+    rows += [(30 + i, edited(rng, rows[i][1].split(), i % 3)) for i in range(20)] + [(50, rows[4][1]), (51, rows[4][1]), (52, None), (None, rows[4][1])]
+    got = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None]
+    assert dict(got) == {d: c for d, (_, c) in near_texts(rows[:-1]).items()} and len(got) == len(rows) - 1
